@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settled tables that are still there, and the session that wrote each.
+_written: dict[str, SparkSession] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
@@ -25,13 +30,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
+    """Write ``df`` as a table in the shared checkpoint folder and go on from the written copy.
 
-    Used where a loop would otherwise grow its lineage or where a costly intermediate is read
-    more than once. The copy survives the loss of executors.
+    Used where a loop would otherwise grow its lineage or where a costly intermediate is read more
+    than once. The copy survives the loss of executors, and its files tell the optimizer its true
+    size. It is removed by :func:`release` or when the program ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    if not _written:
+        atexit.register(_release_all)
+    _written[path] = spark
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files behind a settled table that nothing reads any more."""
+    path = getattr(df, "_settled", None)
+    if path in _written:
+        _remove(_written.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+def _release_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001, S110 - the session may be gone already
+            pass
+    _written.clear()
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
