@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.session import settle
+from locusweave.session import release, settle
 
 MOST_ROUNDS = 200
 
@@ -49,7 +49,9 @@ def connected_groups(links: DataFrame, scope: list[str], u: str, v: str) -> Data
         mappings.append(hooks)
         left = edges.where("a <> b").join(hooks.withColumnsRenamed({"v": "a", "r": "ra"}), [*scope, "a"])
         right = left.join(hooks.withColumnsRenamed({"v": "b", "r": "rb"}), [*scope, "b"]).where("ra <> rb")
-        edges = settle(right.select(*scope, F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        contracted = settle(right.select(*scope, F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        release(edges)
+        edges = contracted
     # Expand: a vertex belongs where the vertex it hooked to belongs.
     final = mappings[-1]
     for level, hooks in enumerate(reversed(mappings[:-1]), 1):

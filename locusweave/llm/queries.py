@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusweave.functions.chrom import canonical_chrom, canonical_chrom_sql
-from locusweave.llm import consolidation, cooccurrence, packing, tokenizing
+from locusweave.llm import consolidation, cooccurrence, packing, quality, tokenizing
 from locusweave.session import settle, table
 
 ALIGNMENT = ["chrom", "bam", "read_id"]
@@ -59,6 +59,22 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(packing.pack(_sizes(spark, sf), containers), containers)
 
 
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    stats = settle(quality.statistics(table(spark, sf, "documents"), table(spark, sf, "common_words")))
+    return quality.scored(stats)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose main content is a list, a table or junk."""
+    named = quality.classified(_scores(spark, sf), table(spark, sf, "doc_labels"))
+    return named.where("text_class <> 'prose'").select("doc_id", "text_class")
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's text statistics, robust scores and the statistics that lie in a tail."""
+    return _scores(spark, sf)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -66,6 +82,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 _PAIRS = f"""
