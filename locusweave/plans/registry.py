@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locusweave.plans import numbered
+from locusweave.plans import numbered, reference
 
-MODULES = [numbered]
+MODULES = [numbered, reference]
 
 
 def queries() -> dict:
