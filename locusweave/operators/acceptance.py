@@ -180,12 +180,12 @@ def clean_edges(edges: DataFrame, chrom: Column) -> DataFrame:
     """Delivered edges put right: canonical chromosome, relation in lower case without blanks, the
     lower position first for undirected relations (two-sided columns exchanged along), the newest
     of repeated rows. Rows without an end, a chromosome or a known relation are left out; missing
-    counts are 0, a missing reliability is 0, haplotypes other than HP1 and HP2 are kept as given
-    in upper case, missing ones are null."""
+    counts are 0, a missing reliability is 0, and haplotypes other than HP1, HP2, MIXED and UNKNOWN
+    are null."""
     relation = F.lower(F.regexp_replace("relation", r"^\s+|\s+$", ""))
     turn = (F.col("u") > F.col("v")) & (relation != "timing")
     two = lambda a, b, name: (F.when(turn, F.col(b)).otherwise(F.col(a))).alias(name)
-    hap = lambda c: F.when(F.trim(c) != "", F.upper(F.trim(c)))
+    hap = lambda c: F.when(F.upper(F.trim(c)).isin("HP1", "HP2", "MIXED", "UNKNOWN"), F.upper(F.trim(c)))
     count = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))
     put = edges.select(
         chrom.alias("chrom"),

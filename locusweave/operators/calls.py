@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusweave.operators.pairs import RELATIONS, margin, same_haplotype_gate, supports
 from locusweave.operators.trees import fit_windows
 from locusweave.operators.windows import all_windows, assign_pairs, read_patterns
+from locusweave.session import settle
 
 #: In which order relations of equal reliability are tried.
 RELATION_RANK = {"cooccurring": 0, "divergent": 1, "left_before_right": 2, "right_before_left": 3}
@@ -15,7 +16,7 @@ RELATION_RANK = {"cooccurring": 0, "divergent": 1, "left_before_right": 2, "righ
 
 def pair_results(pairs: DataFrame, resolved: DataFrame, read: list[str], size: int, stride: int) -> DataFrame:
     """Each eligible pair with its counts, its window, and the lowest BIC of each relation there."""
-    windows = all_windows(pairs, size, stride)
+    windows = settle(all_windows(pairs, size, stride))
     fits = fit_windows(windows, read_patterns(windows, resolved, read))
     chosen = assign_pairs(pairs, windows)
     found = chosen.join(fits, ["chrom", "window_id", "i", "j"])

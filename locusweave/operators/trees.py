@@ -194,4 +194,6 @@ def fit_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per window and pair of its sites with the lowest BIC of each relation. Windows are
     independent of each other and bounded by their patterns; windows no read covers give no rows."""
     sized = patterns.join(windows.select("chrom", "window_id", F.size("sites").alias("n_sites")), ["chrom", "window_id"])
-    return sized.groupBy("chrom", "window_id").applyInPandas(_fit_rows, FIT_SCHEMA)
+    # Little data but much work per window: the number is given so that no tasks are merged.
+    tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sized.repartition(tasks, "chrom", "window_id").groupBy("chrom", "window_id").applyInPandas(_fit_rows, FIT_SCHEMA)

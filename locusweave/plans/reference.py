@@ -353,7 +353,8 @@ def _two(a: str, b: str) -> str:
 
 
 def _hap(a: str, b: str) -> str:
-    return f"nullif(upper(trim({_two(a, b)})), '')"
+    given = f"upper(trim({_two(a, b)}))"
+    return f"CASE WHEN {given} IN ('HP1', 'HP2', 'MIXED', 'UNKNOWN') THEN {given} END"
 
 
 _EDGE_FIELDS = ("reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v", "hap_u", "hap_v")
