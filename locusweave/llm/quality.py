@@ -27,7 +27,7 @@ _CLOSERS = r"[»\"”’'」)\]]*"
 _SENTENCE_END = rf"[.!?。！？…]+{_CLOSERS}(?=\s|$|[{WIDE}「])"
 _BULLET = r"^\s*(?:[-*•·›+>–—▪◦‣]|\d{1,4}[.)])\s"
 #: What separates cells, by kind; a semicolon or comma counts only right before the next cell.
-_CELLS = (("t", r"\t"), ("p", r"\|"), ("s", r";(?=[^\s;])"), ("c", r",(?=[^\s,])"), ("g", r"\S {2,}(?=\S)"))
+_CELLS = (("t", "\t", ""), ("p", "|", ""), ("s", "", r";(?=[^\s;])"), ("c", "", r",(?=[^\s,])"), ("g", "", r" {2,}(?=\S)"))
 
 STATISTICS = (
     "word_count mean_word_length longest_word symbol_ratio digit_ratio upper_ratio letter_ratio stray_ratio "
@@ -38,32 +38,44 @@ STATISTICS = (
 
 def _share_removed(text: Column, pattern: str, n: Column) -> Column:
     """Share of the characters that match ``pattern``."""
-    return 1 - F.length(F.regexp_replace(text, pattern, "")) / n
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / n
 
 
 def _declared(lang: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
 
 
-def _line_facts(line: Column) -> Column:
-    """What one line is: its length, words, sentence ends, and the kind and number of its cells."""
-    bare = F.trim(line)
-    words = F.size(F.split(bare, r"\s+"))
-    wide = F.length(F.regexp_replace(bare, rf"[^{WIDE}]", ""))
-    units = F.greatest(words, F.floor(wide / 2).cast("int"))
-    ends = F.regexp_count(bare, F.lit(_SENTENCE_END))
-    cells, kind = F.lit(0), F.lit("")
-    for name, pattern in reversed(_CELLS):
-        n = F.regexp_count(line, F.lit(pattern))
-        kind, cells = F.when(n > 0, F.lit(name)).otherwise(kind), F.when(n > 0, n).otherwise(cells)
-    bullet = line.rlike(_BULLET)
+def _line_counts(is_wide: Column):
+    """What is counted once in each line: characters, words, sentence ends, cells by kind."""
+
+    def count(line: Column) -> Column:
+        bare = F.trim(line)
+        wide = F.when(is_wide, F.floor(F.length(F.regexp_replace(bare, rf"[^{WIDE}]", "")) / 2).cast("int")).otherwise(0)
+        cells = [(F.length(line) - F.length(F.replace(line, F.lit(c)))) if c else F.regexp_count(line, F.lit(p)) for _, c, p in _CELLS]
+        return F.struct(
+            F.length(bare).alias("n"),
+            F.greatest(F.regexp_count(bare, F.lit(r"\S+")), wide).alias("units"),
+            F.regexp_count(bare, F.lit(_SENTENCE_END)).alias("ends"),
+            bare.rlike(rf"[.!?。！？…]{_CLOSERS}$").alias("closed"),
+            line.rlike(_BULLET).alias("bullet"),
+            F.array(*cells).alias("cells"),
+        )
+
+    return count
+
+
+def _line_facts(x: Column) -> Column:
+    """What a line is, from its counts: the first kind of cell border it has tells its cells."""
+    kind, cells = F.lit(""), F.lit(0)
+    for at in reversed(range(len(_CELLS))):
+        n = F.get(x["cells"], F.lit(at))
+        kind, cells = F.when(n > 0, F.lit(_CELLS[at][0])).otherwise(kind), F.when(n > 0, n).otherwise(cells)
     return F.struct(
-        F.length(bare).alias("n"),
-        units.alias("units"),
-        (bare.rlike(rf"[.!?。！？…]{_CLOSERS}$")).alias("closed"),
-        ((ends > 0) & (units >= 4 * ends) & ~bullet).alias("sentences"),
-        bullet.alias("bullet"),
-        (units <= 5).alias("short"),
+        x["n"].alias("n"),
+        x["closed"].alias("closed"),
+        ((x["ends"] > 0) & (x["units"] >= 4 * x["ends"]) & ~x["bullet"]).alias("sentences"),
+        x["bullet"].alias("bullet"),
+        (x["units"] <= 5).alias("short"),
         kind.alias("kind"),
         cells.alias("cells"),
     )
@@ -85,18 +97,18 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         _declared(F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("declared"),
-        F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[﻿\r]", "").alias("t"),
+        F.when(F.col("text").cast("string").rlike(r"\S"), F.translate(F.col("text").cast("string"), "\ufeff\r", "")).otherwise("").alias("t"),
     )
     lines = base.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S")))
-    is_wide = F.length(F.regexp_replace("t", rf"[^{WIDE}]", "")) * 5 > F.length("t")
-    lower = F.lower("t")
-    tokens = F.when(is_wide, F.split(F.regexp_replace("t", rf"[^{WIDE}]", ""), "")).otherwise(
-        F.split(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ")
-    )
+    lines = lines.withColumn("wide", F.regexp_replace("t", rf"[^{WIDE}]+", ""))
+    is_wide = F.length("wide") * 5 > F.length("t")
+    words = F.split(F.trim(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]+", " ")), " ")
     parts = (
-        lines.withColumn("tokens", F.filter(tokens, lambda x: x != ""))
+        lines.withColumn("tokens", F.filter(F.when(is_wide, F.split("wide", "")).otherwise(words), lambda x: x != ""))
         .withColumn("kinds", F.array_distinct("tokens"))
-        .withColumn("facts", F.transform("lines", _line_facts))
+        # Bound as a lambda's argument, the script of the text is looked up once and not per line.
+        .withColumn("counts", F.flatten(F.transform(F.array(is_wide), lambda w: F.transform("lines", _line_counts(w)))))
+        .withColumn("facts", F.transform("counts", _line_facts))
         .withColumn("lists", F.coalesce(lists.scalar(), F.expr("cast(array() as array<struct<lang:string,words:array<string>>>)")))
     )
     hits = F.transform(
