@@ -19,9 +19,9 @@ from locusweave.operators.pairs import RELATIONS
 
 #: Fixed values of the model.
 OUTLIER, ROUNDS, TOLERANCE = 0.01, 50, 1e-8
-PSEUDO, LEAST_SHARE = 1e-6, 1e-300
+PSEUDO = 1e-6
 #: Trees fitted together.
-BATCH = 32
+BATCH = 256
 
 
 def _set_partitions(n: int) -> list[list[list[int]]]:
@@ -92,16 +92,16 @@ def relation_of(groups: tuple, masks: list[int], i: int, j: int) -> int:
 
 @cache
 def space(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all trees: node masks padded with -1, numbers of nodes but the root, and relations of the
-    pairs ``(0,1), (0,2), …``."""
+    """Of all trees: which genotype (row) each tree (column) has a node for, numbers of nodes but
+    the root, and relations of the pairs ``(0,1), (0,2), …``."""
     listed = trees(n)
-    masks = np.full((len(listed), n + 1), -1)
+    held = np.zeros((1 << n, len(listed)))
     relations = np.zeros((len(listed), n * (n - 1) // 2), np.int8)
     for t, (groups, parents) in enumerate(listed):
         m = node_masks(groups, parents)
-        masks[t, : len(m)] = m
+        held[m, t] = 1
         relations[t] = [relation_of(groups, m, i, j) for i in range(n) for j in range(i + 1, n)]
-    return masks, (masks >= 0).sum(1) - 1, relations
+    return held, held.sum(0).astype(int) - 1, relations
 
 
 def read_likelihoods(patterns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,45 +115,49 @@ def read_likelihoods(patterns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     return like, 0.5**covered
 
 
-def _fit(like: np.ndarray, noise: np.ndarray, weight: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Log-likelihoods of trees after expectation-maximisation over their nodes' shares."""
-    held = masks >= 0
-    nodes = like[:, np.where(held, masks, 0)] * held  # pattern x tree x node
-    share = held / held.sum(1, keepdims=True)
-    last = np.full(len(masks), -np.inf)
-    active = np.ones(len(masks), bool)
+def _fit(like: np.ndarray, noise: np.ndarray, weight: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of trees after expectation-maximisation over their nodes' shares.
+
+    A node is known by its genotype, which no other node of its tree has; ``held`` says which tree
+    (column) has which genotype (row), so that all trees are weighed by one matrix product.
+    """
+    like = (1 - OUTLIER) * like
+    background = OUTLIER * noise[:, None]
+    share = held / held.sum(0)
+    last = np.full(held.shape[1], -np.inf)
+    live = np.arange(held.shape[1])
     for _ in range(ROUNDS):
-        live = np.flatnonzero(active)
-        mixed = (1 - OUTLIER) * nodes[:, live] * np.maximum(share[live], LEAST_SHARE)
-        total = mixed.sum(2) + OUTLIER * noise[:, None]
+        now = share[:, live]
+        total = like @ now + background
         level = weight @ np.log(total)
-        raw = np.einsum("p,ptk->tk", weight, mixed / total[:, :, None]) + PSEUDO * held[live]
-        new = raw / raw.sum(1, keepdims=True)
-        still = (np.abs(level - last[live]) < TOLERANCE) & (np.abs(new - share[live]).max(1) < TOLERANCE)
-        share[live], last[live] = new, level
-        active[live[still]] = False
-        if not active.any():
+        new = now * (like.T @ (weight[:, None] / total)) + PSEUDO * held[:, live]
+        new /= new.sum(0)
+        still = (np.abs(level - last[live]) < TOLERANCE) & (np.abs(new - now).max(0) < TOLERANCE)
+        share[:, live], last[live] = new, level
+        live = live[~still]
+        if not len(live):
             break
-    total = (1 - OUTLIER) * (nodes * np.maximum(share, LEAST_SHARE)).sum(2) + OUTLIER * noise[:, None]
-    return weight @ np.log(total)
+    return weight @ np.log(like @ share + background)
 
 
 def fit_window(patterns: list, weight: np.ndarray, n: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The best tree's number, each tree's BIC (infinite where it was passed over), and the lowest
     BIC of each pair and relation."""
-    masks, size, relations = space(n)
+    held, size, relations = space(n)
     like, noise = read_likelihoods(patterns, n)
     penalty = size * log(max(2, weight.sum()))
-    held = masks >= 0
-    top = np.where(held[None], like[:, np.where(held, masks, 0)], 0).max(2)
+    if len(size) > BATCH:
+        top = np.stack([(like * h).max(1) for h in held.T], 1)
+    else:
+        top = np.ones((len(noise), len(size)))  # all trees fit in one batch: no bound is needed
     bound = -2 * (weight @ np.log((1 - OUTLIER) * top + OUTLIER * noise[:, None])) + penalty
-    bic = np.full(len(masks), np.inf)
+    bic = np.full(len(size), np.inf)
     pair = np.arange(relations.shape[1])
     lowest = np.full((relations.shape[1], len(RELATIONS)), np.inf)
     order = np.argsort(bound, kind="stable")
     while len(order):
         batch, order = order[:BATCH], order[BATCH:]
-        bic[batch] = -2 * _fit(like, noise, weight, masks[batch]) + penalty[batch]
+        bic[batch] = -2 * _fit(like, noise, weight, held[:, batch]) + penalty[batch]
         for t in batch:
             here = lowest[pair, relations[t]]
             lowest[pair, relations[t]] = np.minimum(here, bic[t])
