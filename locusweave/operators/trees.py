@@ -20,6 +20,7 @@ from locusweave.operators.pairs import RELATIONS
 #: Fixed values of the model.
 OUTLIER, ROUNDS, TOLERANCE = 0.01, 50, 1e-8
 PSEUDO = 1e-6
+MOST_SITES = 5
 #: Trees fitted together.
 BATCH = 256
 
@@ -104,15 +105,17 @@ def space(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held, held.sum(0).astype(int) - 1, relations
 
 
-def read_likelihoods(patterns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each read pattern under each of the 2**n genotypes, and under noise."""
+def read_likelihoods(alleles: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each read pattern under each of the 2**n genotypes, and under noise.
+
+    Rows are patterns and columns sites; an allele of -1 is not covered."""
+    n = alleles.shape[1]
     genotype = np.arange(1 << n)[:, None] >> np.arange(n) & 1
-    like, covered = np.ones((len(patterns), 1 << n)), np.zeros(len(patterns), int)
-    for p, pattern in enumerate(patterns):
-        for call in pattern:
-            like[p] *= np.where(genotype[:, call["i"]] == call["allele"], 1 - call["err"], call["err"])
-        covered[p] = len(pattern)
-    return like, 0.5**covered
+    like = np.ones((len(alleles), 1 << n))
+    for site in range(n):
+        a, e = alleles[:, site, None], errors[:, site, None]
+        like *= np.where(a < 0, 1.0, np.where(a == genotype[None, :, site], 1 - e, e))
+    return like, 0.5 ** (alleles >= 0).sum(1)
 
 
 def _fit(like: np.ndarray, noise: np.ndarray, weight: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -140,11 +143,11 @@ def _fit(like: np.ndarray, noise: np.ndarray, weight: np.ndarray, held: np.ndarr
     return weight @ np.log(like @ share + background)
 
 
-def fit_window(patterns: list, weight: np.ndarray, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+def fit_window(alleles: np.ndarray, errors: np.ndarray, weight: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """The best tree's number, each tree's BIC (infinite where it was passed over), and the lowest
     BIC of each pair and relation."""
-    held, size, relations = space(n)
-    like, noise = read_likelihoods(patterns, n)
+    held, size, relations = space(alleles.shape[1])
+    like, noise = read_likelihoods(alleles, errors)
     penalty = size * log(max(2, weight.sum()))
     if len(size) > BATCH:
         top = np.stack([(like * h).max(1) for h in held.T], 1)
@@ -168,9 +171,11 @@ def fit_window(patterns: list, weight: np.ndarray, n: int) -> tuple[int, np.ndar
 
 def _fit_rows(rows: pd.DataFrame) -> pd.DataFrame:
     n = int(rows["n_sites"].iloc[0])
-    rows = rows.assign(key=[tuple((c["i"], c["allele"], c["err"]) for c in p) for p in rows["pattern"]]).sort_values("key")
-    weight = rows["reads"].to_numpy(float)
-    best, bic, lowest = fit_window(rows["pattern"].tolist(), weight, n)
+    alleles = rows[[f"a{k}" for k in range(n)]].to_numpy(np.int64)
+    errors = rows[[f"e{k}" for k in range(n)]].to_numpy(float)
+    order = np.lexsort((*errors.T, *alleles.T))  # sums of floats are taken in one order always
+    weight = rows["reads"].to_numpy(float)[order]
+    best, bic, lowest = fit_window(alleles[order], errors[order], weight)
     groups, parents = trees(n)[best]
     places = [(i, j) for i in range(n) for j in range(i + 1, n)]
     return pd.DataFrame(
@@ -197,7 +202,15 @@ FIT_SCHEMA = "chrom string, window_id bigint, best_tree int, best_bic double, gr
 def fit_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per window and pair of its sites with the lowest BIC of each relation. Windows are
     independent of each other and bounded by their patterns; windows no read covers give no rows."""
-    sized = patterns.join(windows.select("chrom", "window_id", F.size("sites").alias("n_sites")), ["chrom", "window_id"])
+    call = lambda k, f: F.get(F.filter("pattern", lambda c: c["i"] == k), F.lit(0))[f]
+    flat = patterns.select(
+        "chrom",
+        "window_id",
+        "reads",
+        *(F.coalesce(call(k, "allele"), F.lit(-1)).alias(f"a{k}") for k in range(MOST_SITES)),
+        *(F.coalesce(call(k, "err"), F.lit(0.5)).alias(f"e{k}") for k in range(MOST_SITES)),
+    )
+    sized = flat.join(windows.select("chrom", "window_id", F.size("sites").alias("n_sites")), ["chrom", "window_id"])
     # Little data but much work per window: the number is given so that no tasks are merged.
     tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sized.repartition(tasks, "chrom", "window_id").groupBy("chrom", "window_id").applyInPandas(_fit_rows, FIT_SCHEMA)
