@@ -96,6 +96,13 @@ def site_annotations(edges: DataFrame) -> DataFrame:
     return ends.groupBy("chrom", "pos").agg(F.min(known)["vaf"].alias("vaf"), label.alias("haplotype"))
 
 
+def exported_annotations(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """:func:`site_annotations` of the accepted edges, and for sites that only rejected edges touch,
+    of those."""
+    known = site_annotations(accepted)
+    return known.unionByName(site_annotations(rejected).join(known, ["chrom", "pos"], "left_anti"))
+
+
 def condensed_nodes(clusters: DataFrame, annotations: DataFrame) -> DataFrame:
     """One row per cluster: size, lower median and first position, median VAF, majority haplotype
     (the alphabetically first among equals) and whether haplotypes mix.

@@ -46,7 +46,7 @@ def build_graphs(config: PhaseConfig, proposals: DataFrame, contigs: DataFrame,
     accepted = settle(decided.where("status = 'accepted'"))
     rejected = decided.where("status = 'rejected'")
     exported = settle(decided.where("status <> 'repeated' and u <> v").withColumn("relation", F.when(F.col("status") == "accepted", F.col("relation")).otherwise("unknown")))
-    annotations = graph_reports.site_annotations(exported)
+    annotations = settle(graph_reports.exported_annotations(accepted, rejected))
     homes = accepted.select("chrom", F.explode(F.array(F.struct(F.col("u").alias("pos"), F.col("cluster_u").alias("cluster")), F.struct(F.col("v").alias("pos"), F.col("cluster_v").alias("cluster")))).alias("h"))
     condensed = settle(graph_reports.condensed_edges(accepted))
     stats = settle(graph_reports.component_stats(accepted))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusweave.functions.chrom import canonical_chrom, canonical_chrom_sql
-from locusweave.operators import acceptance, calls, chains, copy_number, graph_reports, observations, pairs, simplify, windows
+from locusweave.operators import acceptance, calls, chains, copy_number, graph_reports, layout, observations, pairs, simplify, windows
 from locusweave.operators.components import components
 from locusweave.operators.intervals import periods_and_gaps
 from locusweave.plans import star
@@ -204,16 +204,34 @@ def relation_dedup(spark, sf):
     return kept[0].unionByName(kept[1]).select("chrom", "u", "v", "relation")
 
 
-def _exported(spark, sf) -> DataFrame:
-    """Accepted edges, and rejected ones under the relation ``unknown``."""
+def simplified_graph(spark, sf):
+    """The simplified view of all edges: accepted ones, and rejected ones as ``unknown``."""
     decided = _decided(spark, sf).where("status <> 'repeated' and u <> v")
-    relation = F.when(F.col("status") == "accepted", F.col("relation")).otherwise("unknown")
-    return settle(decided.withColumn("relation", relation))
+    accepted = F.col("status") == "accepted"
+    annotations = settle(graph_reports.exported_annotations(decided.where(accepted), decided.where(~accepted)))
+    exported = settle(decided.withColumn("relation", F.when(accepted, F.col("relation")).otherwise("unknown")))
+    return simplify.simplified(exported, annotations)
 
 
-def simplified_graph(spark, sf):
-    exported = _exported(spark, sf)
-    return simplify.simplified(exported, graph_reports.site_annotations(exported))
+def _nodes(edges: DataFrame) -> DataFrame:
+    found = components(edges, ["chrom"], "u", "v").withColumnRenamed("vertex", "pos")
+    return found.join(graph_reports.site_annotations(edges), ["chrom", "pos"])
+
+
+def graph_layout(spark, sf):
+    """Places of the sites in the drawing of all edges, and their height in the simplified one."""
+    placed = layout.component_layout(_nodes(_proper(spark, sf)))
+    return placed.select("chrom", "pos", "component", "x", "y")
+
+
+def topn_layout(spark, sf):
+    """Places of the sites of the top components in each ranking's drawing."""
+    proper = _proper(spark, sf)
+    nodes = settle(_nodes(proper))
+    top = simplify.top_components(proper, 50).select("ranking", "chrom", "component")
+    placed = layout.ranking_layout(nodes.join(top, ["chrom", "component"]).select("ranking", "chrom", "pos", "vaf", "haplotype"))
+    height = layout.band_y(F.concat_ws(":", "chrom", "pos"), F.col("vaf"), F.col("haplotype"))
+    return placed.select("ranking", "chrom", "pos", "x", F.round(height, 6).alias("y"))
 
 
 def topn_components(spark, sf):
@@ -266,7 +284,7 @@ QUERIES = {
         regular_windows, all_windows, pair_window_assignment, window_read_patterns, relationship_calls, proposals, window_conflicts,
         edges_clean, edge_order, accepted_edges, rejected_edges, graph_connectivity, edge_haplotype_summary, component_stats,
         accepted_component_stats, cross_haplotype_filter, nearest_neighbour_thinning, condensed_nodes, condensed_edges, relation_dedup,
-        simplified_graph, topn_components, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
+        simplified_graph, graph_layout, topn_layout, topn_components, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
     )
 }
 
@@ -498,6 +516,15 @@ r AS (SELECT e.chrom, e.u, e.v, e.relation, row_number() OVER (PARTITION BY e.ch
         ORDER BY alt_alt + alt_ref + ref_alt DESC, reliability DESC, u DESC, v DESC) AS k
       FROM ends e JOIN clusters c ON c.chrom = e.chrom AND c.pos = e.other)
 SELECT chrom, u, v, relation FROM r GROUP BY ALL HAVING max(k) = 1""",
+    "graph_layout": f"""
+WITH RECURSIVE p AS ({_PROPER}), {_reach("SELECT chrom, u, v FROM p")}, a AS ({_sites_of("p")}),
+m AS (SELECT r.chrom, r.pos, r.component, CAST(floor(coalesce(a.vaf, 0.0) / 0.05) AS bigint) AS lvl,
+             row_number() OVER (PARTITION BY r.chrom, r.component ORDER BY r.pos) AS k FROM reach r JOIN a ON a.chrom = r.chrom AND a.pos = r.pos),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY chrom, component ORDER BY lvl) - 1 AS step FROM m),
+c AS (SELECT chrom, component, count(*) AS n, max(step) AS steps FROM d GROUP BY ALL),
+o AS (SELECT *, coalesce(sum((n - 1) * 80.0 + 220.0) OVER (PARTITION BY chrom ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM c)
+SELECT d.chrom, d.pos, d.component, CAST(o.start + (k - 1) * 80.0 AS double) AS x, CAST((o.steps / 2.0 - step) * 70.0 AS double) AS y
+FROM d JOIN o ON o.chrom = d.chrom AND o.component = d.component""",
     "topn_components": f"""{_STATS},
 k AS (SELECT *, timing_edges + divergent_edges AS interesting_edges FROM s),
 o AS (SELECT *, CASE WHEN regexp_full_match(chrom, '[0-9]+') THEN CAST(chrom AS int) WHEN chrom = 'X' THEN 23 WHEN chrom = 'Y' THEN 24

@@ -118,3 +118,21 @@ def test_chains(spark):
     for cycle in ([("1", 1, 2, T), ("1", 2, 1, T)], [("1", 0, 1, T), ("1", 1, 2, T), ("1", 2, 1, T)]):
         with pytest.raises(ValueError, match="cycle"):
             chains.timing_chains(spark.createDataFrame(cycle, schema))
+
+
+def test_layout(spark):
+    import hashlib
+
+    from locusweave.operators import layout
+
+    nodes = spark.createDataFrame([("1", 5, 5, 0.5), ("1", 9, 5, 0.52), ("1", 70_000, 5, None), ("1", 7, 7, 0.1)], "chrom string, pos long, component long, vaf double")
+    got = rows(layout.component_layout(nodes), "pos", "x", "y")
+    assert got == [(5, 0.0, -35.0), (7, 380.0, 0.0), (9, 80.0, -35.0), (70_000, 160.0, 35.0)]
+    ranking = spark.createDataFrame([("a", "X", 1), ("a", "2", 8), ("a", "2", 3), ("b", "X", 1)], "ranking string, chrom string, pos long")
+    assert rows(layout.ranking_layout(ranking)) == [("a", "2", 3, 0.0), ("a", "2", 8, 80.0), ("a", "X", 1, 380.0), ("b", "X", 1, 0.0)]
+    names = spark.createDataFrame([("1:5",), ("x",)], "n string")
+    for name, mod in rows(names.select("n", layout.md5_mod(F.col("n"), 1000))):
+        assert mod == int(hashlib.md5(name.encode()).hexdigest(), 16) % 1000
+    y = names.limit(1).select(layout.band_y(F.lit("x"), F.lit(1.0), F.lit("HP2"))).first()[0]
+    scatter = (int(hashlib.md5(b"x").hexdigest(), 16) % 1000 / 1000 - 0.5) * 35
+    assert abs(y - (2 * 840 + 35 + scatter)) < 1e-9
