@@ -24,10 +24,11 @@ def tracks(segments: DataFrame, owner: Column, chrom: Column) -> DataFrame:
     return flat.select("owner", "chrom", "start", "end", "t.hp", finite(F.col("t.state")).alias("state"), finite(F.col("t.confidence")).alias("confidence")).distinct()
 
 
-def best_segment(spans: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+def best_segment(spans: DataFrame, segments: DataFrame, keys: list[str], per: tuple[str, ...] = ()) -> DataFrame:
     """Of each span (``keys``, ``span``, ``first``, ``last``; closed) and track, the segment that
     overlaps it most; then by confidence (a missing one last), start, end. ``keys`` are columns of
-    both sides; spans that no segment overlaps give no row.
+    both sides; spans that no segment overlaps give no row. ``per`` are columns of the segments alone
+    (say, whose profile it is): each span then has a best segment for each of their values.
 
     Both sides meet in bins of ``2**BITS`` positions, each pair in the first bin they share.
     """
@@ -41,7 +42,7 @@ def best_segment(spans: DataFrame, segments: DataFrame, keys: list[str]) -> Data
         (-overlap).alias("a"), (-F.coalesce("confidence", F.lit(float("-inf")))).alias("b"), F.col("start").alias("c"), F.col("end").alias("d"), F.coalesce("state", F.lit(-1.0)).alias("e")
     )
     pick = F.min_by(F.struct("state", "confidence", "start", "end", overlap.alias("overlap")), order).alias("s")
-    return met.groupBy(*keys, "span", "hp").agg(pick).select(*keys, "span", "hp", "s.*")
+    return met.groupBy(*keys, *per, "span", "hp").agg(pick).select(*keys, *per, "span", "hp", "s.*")
 
 
 def total_state(one: Column, two: Column) -> Column:
@@ -49,11 +50,12 @@ def total_state(one: Column, two: Column) -> Column:
     return F.when(one.isNotNull() | two.isNotNull(), F.coalesce(one, F.lit(0.0)) + F.coalesce(two, F.lit(0.0)))
 
 
-def annotated_spans(spans: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``span``, ``cn_hp1``, ``cn_hp2``, ``cn_total`` of spans that any track overlaps."""
-    best = best_segment(spans, segments, keys)
+def annotated_spans(spans: DataFrame, segments: DataFrame, keys: list[str], per: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, ``per``, ``span``, ``cn_hp1``, ``cn_hp2``, ``cn_total`` of spans that any track
+    overlaps."""
+    best = best_segment(spans, segments, keys, per)
     side = {hp: F.max(F.when(F.col("hp") == hp, F.col("state"))).alias(f"cn_{hp}") for hp in TRACKS}
-    return best.groupBy(*keys, "span").agg(*side.values()).withColumn("cn_total", total_state(F.col("cn_hp1"), F.col("cn_hp2")))
+    return best.groupBy(*keys, *per, "span").agg(*side.values()).withColumn("cn_total", total_state(F.col("cn_hp1"), F.col("cn_hp2")))
 
 
 def common_segments(segments: DataFrame, keys: list[str]) -> DataFrame:

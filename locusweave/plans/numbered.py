@@ -97,7 +97,48 @@ SELECT 'cn' AS track, CAST(profile_id AS bigint) AS owner_id, {canonical_chrom_s
 UNION ALL
 SELECT 'bed', CAST(bed_id AS bigint), {canonical_chrom_sql("chrom")}, start_pos, end_pos FROM excluded_regions"""
 
+_CONTENT = r"line IS NOT NULL AND regexp_matches(line, '\S') AND NOT starts_with(line, '#')"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FIELD = r'"(?:[^"]|"")*"|(?:[^\t"][^\t]*)?'
+_STATE = "'na|nan|null|[.]|([0-9]+([.][0-9]+)?)?'"
+
+
+def _whole(text: str, least: int) -> str:
+    return f"coalesce(regexp_full_match({text}, '[0-9]+') AND TRY_CAST({text} AS hugeint) BETWEEN {least} AND 2147483647, false)"
+
+
+# Each step of ``t`` takes the bases before the next inserted or deleted stretch, and that stretch.
+_FAILURES = rf"""
+WITH RECURSIVE l AS (SELECT line_id, string_split(line, chr(9)) AS f FROM pileup_raw WHERE {_CONTENT}),
+w AS (SELECT line_id, f, len(f) >= 7 AND len(f) % 4 = 3 AS wide FROM l),
+i AS (SELECT line_id, k, f[4 + 4 * k] AS depth, f[5 + 4 * k] AS bases, f[6 + 4 * k] AS quals, f[7 + 4 * k] AS names
+      FROM (SELECT line_id, f, unnest(range((len(f) - 3) // 4)) AS k FROM w WHERE wide)),
+d AS (SELECT *, {_whole("depth", 0)} AS counted, TRY_CAST(depth AS hugeint) AS n FROM i),
+t AS (SELECT line_id, k, bases AS rest, CAST(0 AS bigint) AS letters, false AS broken FROM d WHERE counted AND n > 0
+      UNION ALL
+      SELECT line_id, k, CASE WHEN bad OR tail = '' THEN '' ELSE substr(tail, 2 + length(digits) + CAST(digits AS int)) END, letters + more, bad FROM (
+        SELECT *, tail <> '' AND NOT coalesce({_whole("digits", 1)} AND 1 + length(digits) + TRY_CAST(digits AS bigint) <= length(tail), false) AS bad FROM (
+          SELECT *, regexp_extract(tail, '^[+-]([0-9]+)', 1) AS digits FROM (
+            SELECT *, substr(rest, length(run) + 1) AS tail, length(regexp_replace(run, '\^(?s:.)|\$', '', 'g')) AS more FROM (
+              SELECT *, regexp_extract(rest, '^(?:\^(?s:.)|[^\^+-])*') AS run FROM t WHERE rest <> ''))))),
+b AS (SELECT line_id, k, max(letters) AS letters, bool_or(broken) AS broken FROM t GROUP BY ALL),
+v AS (SELECT d.line_id, bool_or(NOT counted) AS depth, bool_or(n > 0 AND len(string_split(names, ',')) <> n) AS names,
+             bool_or(n > 0 AND (broken OR letters <> n)) AS bases, bool_or(n > 0 AND length(quals) <> n) AS quals
+      FROM d LEFT JOIN b ON b.line_id = d.line_id AND b.k = d.k GROUP BY d.line_id),
+p AS (SELECT w.line_id, CASE WHEN NOT wide THEN 'columns' WHEN NOT {_whole("f[2]", 1)} THEN 'position' WHEN depth THEN 'depth' WHEN names THEN 'names'
+             WHEN bases THEN 'bases' WHEN quals THEN 'quals' END AS reason FROM w LEFT JOIN v ON v.line_id = w.line_id),
+c AS (SELECT line_id, regexp_full_match(line, '(?s:(?:{_FIELD})(?:\t(?:{_FIELD}))*)') AS quoted,
+             list_transform(regexp_extract_all(chr(9) || line, '\t({_FIELD})', 1),
+               lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, {_BLANK})) AS f
+      FROM cn_profile_raw WHERE {_CONTENT}),
+q AS (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) < 9 THEN 'columns' WHEN f[1] = '' THEN 'chrom'
+             WHEN NOT ({_whole("f[2]", 0)} AND {_whole("f[3]", 0)}) OR TRY_CAST(f[3] AS hugeint) <= TRY_CAST(f[2] AS hugeint) THEN 'coordinates'
+             WHEN NOT (regexp_full_match(lower(f[5]), {_STATE}) AND regexp_full_match(lower(f[8]), {_STATE})) THEN 'state' END AS reason FROM c)
+SELECT 'pileup_raw' AS raw_table, line_id, reason FROM p WHERE reason IS NOT NULL
+UNION ALL SELECT 'cn_profile_raw', line_id, reason FROM q WHERE reason IS NOT NULL"""
+
 ORACLES = {
+    "p5_found": _FAILURES,
     "p2_found": f"""
 WITH d AS ({_DISTINCT}), c AS (SELECT chrom, count(*) AS n FROM d GROUP BY chrom)
 SELECT chrom FROM c WHERE n * 10 >= (SELECT sum(n) FROM c)""",

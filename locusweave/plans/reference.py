@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusweave.functions.chrom import canonical_chrom, canonical_chrom_sql
-from locusweave.operators import acceptance, calls, chains, copy_number, graph_reports, layout, observations, pairs, simplify, windows
+from locusweave.operators import acceptance, calls, chains, copy_number, graph_reports, layout, observations, pairs, simplify, tallies, windows
 from locusweave.operators.components import components
 from locusweave.operators.intervals import periods_and_gaps
 from locusweave.plans import star
 from locusweave.session import settle, table
+from locusweave.sources import relation_lines
 
 READ = ["chrom", "bam", "read_id"]
 WINDOW, STRIDE = 4, 3
@@ -276,6 +277,40 @@ def cn_merged_segments(spark, sf):
     return copy_number.common_segments(settle(_tracks(spark, sf)), ["owner", "chrom"])
 
 
+def component_copy_number(spark, sf):
+    """Both copy-number states of every profile over the extent of each component."""
+    stats = component_stats(spark, sf)
+    spans = stats.select("chrom", F.col("component").alias("span"), F.col("min_pos").alias("first"), F.col("max_pos").alias("last"))
+    found = copy_number.annotated_spans(spans, settle(_tracks(spark, sf)), ["chrom"], ("owner",))
+    return found.select("owner", "chrom", F.col("span").alias("component"), "cn_hp1", "cn_hp2", "cn_total")
+
+
+# ---------------------------------------------------------------- tallies and relation files
+
+
+def site_label_tally(spark, sf):
+    return tallies.label_tally(support_filtered_sites(spark, sf), F.col("label"))
+
+
+def relation_tally(spark, sf):
+    kept = edges_clean(spark, sf)
+    aa, ar, ra = (F.col(c) >= 1 for c in ("alt_alt", "alt_ref", "ref_alt"))
+    # A timing edge's counts follow its direction, so that its first site is the left one.
+    shown = F.when(F.col("relation") == "cooccurring", aa).when(F.col("relation") == "timing", aa & ar).otherwise(ar & ra)
+    return tallies.relation_tally(kept, shown, (F.col("hap_u") == F.col("hap_v")) & F.col("hap_u").isin("HP1", "HP2"))
+
+
+def component_sizes(spark, sf):
+    return tallies.size_histogram(candidate_components(spark, sf), ["chrom", "component"])
+
+
+def relation_lines_read(spark, sf):
+    """The edges written as lines of relation files and read again."""
+    lines = edges_clean(spark, sf).select(relation_lines.line_of_edge().alias("line"), relation_lines.relation_of_edge().alias("file"))
+    kept = ("chrom", "u", "v", "relation", "reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v")
+    return relation_lines.edges_of_lines(lines, "line", F.col("file")).select(*kept)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -285,6 +320,7 @@ QUERIES = {
         edges_clean, edge_order, accepted_edges, rejected_edges, graph_connectivity, edge_haplotype_summary, component_stats,
         accepted_component_stats, cross_haplotype_filter, nearest_neighbour_thinning, condensed_nodes, condensed_edges, relation_dedup,
         simplified_graph, graph_layout, topn_layout, topn_components, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
+        component_copy_number, site_label_tally, relation_tally, component_sizes, relation_lines_read,
     )
 }
 
@@ -555,4 +591,30 @@ SELECT chrom, CAST(sum(bp) AS bigint) AS covered_bp, (SELECT CAST(sum(e - s + 1)
     "cn_merged_segments": f"""
 SELECT owner, chrom, first AS start, last AS "end", max(state) FILTER (hp = 'hp1') AS cn_hp1, max(state) FILTER (hp = 'hp2') AS cn_hp2, sum(state) AS cn_total
 FROM ({_best_cn(_CUTS)}) GROUP BY owner, chrom, first, last""",
+    "component_copy_number": f"""
+WITH RECURSIVE p AS ({_PROPER}), {_reach("SELECT chrom, u, v FROM p")},
+n AS (SELECT chrom, component, min(pos) AS first, max(pos) AS last FROM reach GROUP BY chrom, component),
+x AS (SELECT DISTINCT o.owner, n.chrom, n.first, n.last, n.component FROM n JOIN (SELECT DISTINCT owner, chrom FROM ({_CN})) o ON o.chrom = n.chrom),
+b AS ({_best_cn("SELECT DISTINCT owner, chrom, first, last FROM x")})
+SELECT owner, chrom, x.component, max(state) FILTER (hp = 'hp1') AS cn_hp1, max(state) FILTER (hp = 'hp2') AS cn_hp2, sum(state) AS cn_total
+FROM b JOIN x USING (owner, chrom, first, last) GROUP BY owner, chrom, x.component""",
+    "site_label_tally": f"""
+SELECT chrom, CAST(count(*) FILTER (label = 'HP1') AS bigint) AS hp1, CAST(count(*) FILTER (label = 'HP2') AS bigint) AS hp2,
+       CAST(count(*) FILTER (label = 'MIXED') AS bigint) AS mixed, CAST(count(*) FILTER (label = 'UNKNOWN') AS bigint) AS unknown, count(*) AS sites
+FROM ({_SUMMARY}) WHERE alt_reads > 3 OR (alt_reads + ref_reads > 0 AND 100 * alt_reads > 8 * (alt_reads + ref_reads))
+GROUP BY ROLLUP (chrom)""",
+    "relation_tally": f"""
+WITH x AS (SELECT chrom, relation, coalesce(hap_u = hap_v AND hap_u IN ('HP1', 'HP2'), false) AS same,
+                  CASE relation WHEN 'cooccurring' THEN alt_alt >= 1 WHEN 'timing' THEN alt_alt >= 1 AND alt_ref >= 1 ELSE alt_ref >= 1 AND ref_alt >= 1 END AS shown
+           FROM ({_EDGES}))
+SELECT chrom, relation, count(*) AS inferred, CAST(count(*) FILTER (shown) AS bigint) AS supported,
+       CAST(count(*) FILTER (shown AND (relation <> 'divergent' OR same)) AS bigint) AS same_haplotype
+FROM x GROUP BY chrom, relation""",
+    "component_sizes": f"""
+WITH RECURSIVE {_reach(f'SELECT chrom, left_pos AS u, right_pos AS v FROM ({_CANDIDATES}) WHERE {_GATE}')}
+SELECT chrom, sites, count(*) AS groups FROM (SELECT chrom, component, count(*) AS sites FROM reach GROUP BY chrom, component) GROUP BY chrom, sites""",
+    "relation_lines_read": f"""
+SELECT chrom, u, v, relation, reliability, alt_alt, alt_ref, ref_alt, ref_ref,
+       coalesce(CASE WHEN NOT isnan(vaf_u) THEN vaf_u END, 0.0) AS vaf_u, coalesce(CASE WHEN NOT isnan(vaf_v) THEN vaf_v END, 0.0) AS vaf_v
+FROM ({_EDGES})""",
 }
