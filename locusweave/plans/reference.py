@@ -11,6 +11,7 @@ from locusweave.operators.components import components
 from locusweave.operators.intervals import periods_and_gaps
 from locusweave.plans import star
 from locusweave.session import settle, table
+from locusweave.sinks import reports
 from locusweave.sources import relation_lines
 
 READ = ["chrom", "bam", "read_id"]
@@ -95,6 +96,12 @@ def regular_windows(spark, sf):
     return windows.regular_windows(windows.site_components(eligible), eligible, WINDOW, STRIDE)
 
 
+def regular_window_sites(spark, sf):
+    """The regular windows of full size, one row per site, named by their first site."""
+    full = regular_windows(spark, sf).where(F.size("sites") == WINDOW)
+    return full.select("chrom", "component", F.col("sites")[0].alias("first"), F.posexplode("sites").alias("place", "pos"))
+
+
 def all_windows(spark, sf):
     return windows.all_windows(_eligible(spark, sf), WINDOW, STRIDE)
 
@@ -292,6 +299,14 @@ def site_label_tally(spark, sf):
     return tallies.label_tally(support_filtered_sites(spark, sf), F.col("label"))
 
 
+def site_table(spark, sf):
+    return reports.site_table(site_summary(spark, sf))
+
+
+def vote_table(spark, sf):
+    return reports.vote_table(read_votes(spark, sf))
+
+
 def relation_tally(spark, sf):
     kept = edges_clean(spark, sf)
     aa, ar, ra = (F.col(c) >= 1 for c in ("alt_alt", "alt_ref", "ref_alt"))
@@ -316,11 +331,11 @@ QUERIES = {
     for f in (
         obs_resolved, obs_stats, sites_clean, excluded_sites, pair_candidates, pair_gate, candidates_clean, candidate_components,
         read_votes, read_assignment_totals, site_summary, support_filtered_sites,
-        regular_windows, all_windows, pair_window_assignment, window_read_patterns, relationship_calls, proposals, window_conflicts,
+        regular_windows, regular_window_sites, all_windows, pair_window_assignment, window_read_patterns, relationship_calls, proposals, window_conflicts,
         edges_clean, edge_order, accepted_edges, rejected_edges, graph_connectivity, edge_haplotype_summary, component_stats,
         accepted_component_stats, cross_haplotype_filter, nearest_neighbour_thinning, condensed_nodes, condensed_edges, relation_dedup,
         simplified_graph, graph_layout, topn_layout, topn_components, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
-        component_copy_number, site_label_tally, relation_tally, component_sizes, relation_lines_read,
+        component_copy_number, site_label_tally, site_table, vote_table, relation_tally, component_sizes, relation_lines_read,
     )
 }
 
@@ -617,4 +632,22 @@ SELECT chrom, sites, count(*) AS groups FROM (SELECT chrom, component, count(*)
 SELECT chrom, u, v, relation, reliability, alt_alt, alt_ref, ref_alt, ref_ref,
        coalesce(CASE WHEN NOT isnan(vaf_u) THEN vaf_u END, 0.0) AS vaf_u, coalesce(CASE WHEN NOT isnan(vaf_v) THEN vaf_v END, 0.0) AS vaf_v
 FROM ({_EDGES})""",
+    "site_table": f"SELECT {', '.join(f'{c} AS {n}' for n, c in reports.SITE_COLUMNS.items())} FROM ({_SUMMARY})",
+    "vote_table": f"""
+SELECT chrom AS CHROM, read_id AS READ_NAME, hp1 AS HP1_GERMLINE_VOTES, hp2 AS HP2_GERMLINE_VOTES, hp1 + hp2 AS TOTAL_INFORMATIVE_GERMLINE_MUTATIONS,
+       CASE WHEN hp1 + hp2 > 0 THEN round(CAST(least(hp1, hp2) AS double) / (hp1 + hp2), 6) END AS MINORITY_FRACTION, assignment AS ASSIGNMENT FROM ({_VOTES})""",
+    "regular_window_sites": f"""
+WITH RECURSIVE gate AS (SELECT chrom, left_pos AS u, right_pos AS v FROM ({_PAIRS}) WHERE {_GATE}), {_reach("SELECT chrom, u, v FROM gate")},
+m AS (SELECT chrom, component, pos, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY chrom, component) AS n FROM reach
+      WINDOW w AS (PARTITION BY chrom, component ORDER BY pos)),
+o AS (SELECT chrom, component, k AS first FROM m WHERE k <= n - {WINDOW} AND (k % {STRIDE} = 0 OR k = n - {WINDOW})),
+s AS (SELECT m.chrom, m.component, o.first, m.k - o.first AS place, m.pos
+      FROM o JOIN m ON m.chrom = o.chrom AND m.component = o.component AND m.k BETWEEN o.first AND o.first + {WINDOW - 1}),
+e AS (SELECT a.chrom, a.component, a.first, a.place AS i, b.place AS j FROM s a JOIN s b USING (chrom, component, first)
+      JOIN both_ways g ON g.chrom = a.chrom AND g.a = a.pos AND g.b = b.pos),
+seen AS (SELECT chrom, component, first, CAST(0 AS bigint) AS place FROM o
+         UNION SELECT e.chrom, e.component, e.first, CAST(e.j AS bigint) FROM seen JOIN e USING (chrom, component, first) WHERE e.i = seen.place),
+whole AS (SELECT chrom, component, first FROM seen GROUP BY ALL HAVING count(*) = {WINDOW})
+SELECT s.chrom, s.component, min(s.pos) OVER (PARTITION BY s.chrom, s.component, s.first) AS first, CAST(s.place AS int) AS place, s.pos
+FROM s JOIN whole ON whole.chrom = s.chrom AND whole.component = s.component AND whole.first = s.first""",
 }
