@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.chrom import graph_sort_key
+from locusweave.operators.axis import with_next
 from locusweave.operators.components import components
 
 
@@ -43,8 +44,8 @@ def bridges(thinned: DataFrame, clusters: DataFrame) -> DataFrame:
         .groupBy("chrom", "cluster", "piece")
         .agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     )
-    following = F.lead("first").over(Window.partitionBy("chrom", "cluster").orderBy("first"))
-    return pieces.select("chrom", F.col("last").alias("u"), following.alias("v")).where("v is not null")
+    following = with_next(pieces, ["chrom", "cluster"], "first", "v")
+    return following.where("v is not null").select("chrom", F.col("last").alias("u"), "v")
 
 
 def best_per_cluster(edges: DataFrame, relation: str, clusters: DataFrame) -> DataFrame:

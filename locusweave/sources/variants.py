@@ -55,7 +55,7 @@ def phased_markers(records: DataFrame, place: int = 0) -> DataFrame:
     return kept.select("chrom", "pos", F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), hap.alias("alt_haplotype"))
 
 
-def read_regions(spark: SparkSession, path: str) -> DataFrame:
+def read_regions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``chrom, start_pos, end_pos`` of region files: fields lie between blanks of any kind; blank
     and comment lines and lines without whole numbers are left out."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"\S") & ~F.ltrim("value").startswith("#"))
