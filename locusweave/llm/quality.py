@@ -23,6 +23,10 @@ TREES, DEPTH = 40, 10
 TAIL = 3.5
 
 WIDE = r"぀-ヿ㐀-鿿가-힯"
+#: Words of the scripts that put spaces between them, and each wide character on its own.
+_TOKEN = rf"[{WIDE}]|[\p{{L}}\p{{N}}&&[^{WIDE}]]+"
+#: A word on a line that also holds wide characters: from its first letter or digit on.
+_SPACED = rf"[\p{{L}}\p{{N}}&&[^{WIDE}]][^\s{WIDE}]*"
 _CLOSERS = r"[»\"”’'」)\]]*"
 _SENTENCE_END = rf"[.!?。！？…]+{_CLOSERS}(?=\s|$|[{WIDE}「])"
 _BULLET = r"^\s*(?:[-*•·›+>–—▪◦‣]|\d{1,4}[.)])\s"
@@ -45,12 +49,14 @@ def _declared(lang: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
 
 
-def _line_counts(is_wide: Column):
+def _line_counts(has_wide: Column):
     """What is counted once in each line: characters, words, sentence ends, cells by kind."""
 
     def count(line: Column) -> Column:
         bare = F.trim(line)
-        wide = F.when(is_wide, F.floor(F.length(F.regexp_replace(bare, rf"[^{WIDE}]", "")) / 2).cast("int")).otherwise(0)
+        # Two wide characters are taken for a word, beside the words between spaces.
+        mixed = F.regexp_count(bare, F.lit(_SPACED)) + F.floor(F.regexp_count(bare, F.lit(f"[{WIDE}]")) / 2).cast("int")
+        wide = F.when(has_wide, mixed).otherwise(0)
         cells = [(F.length(line) - F.length(F.replace(line, F.lit(c)))) if c else F.regexp_count(line, F.lit(p)) for _, c, p in _CELLS]
         return F.struct(
             F.length(bare).alias("n"),
@@ -81,9 +87,25 @@ def _line_facts(x: Column) -> Column:
     )
 
 
+def _wide_words(text: Column, words: Column) -> Column:
+    """How often ``words`` of wide characters occur in ``text``, and how many kinds of them. The
+    longest come first, and what one took is not counted again for a shorter one inside it."""
+    ordered = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
+
+    def take(held: Column, w: Column) -> Column:
+        n = ((F.length(held["rest"]) - F.length(F.replace(held["rest"], w, F.lit("")))) / F.length(w)).cast("int")
+        return F.struct(
+            F.replace(held["rest"], w, F.lit(" ")).alias("rest"), (held["n"] + n).alias("n"), (held["kinds"] + F.when(n > 0, 1).otherwise(0)).alias("kinds")
+        )
+
+    return F.aggregate(ordered, F.struct(text.alias("rest"), F.lit(0).alias("n"), F.lit(0).alias("kinds")), take, lambda x: F.struct(x["n"], x["kinds"]))
+
+
 def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id``, ``language`` and the columns of :data:`STATISTICS`, for each document.
 
+    A text's tokens are its words by letters and digits, and each wide character on its own, however
+    they are mixed; frequent words of wide characters count by their occurrences in the text.
     Null, empty and blank texts have zero in every statistic. The language is that whose frequent
     words the text holds most kinds of, the declared one among equals. Extra columns of either
     table are ignored; languages without frequent words fall under the declared name.
@@ -92,7 +114,8 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
         common_words.dropna(subset=["lang", "word"])
         .groupBy("lang")
         .agg(F.sort_array(F.collect_set(F.lower("word"))).alias("words"))
-        .agg(F.sort_array(F.collect_list(F.struct("lang", "words"))).alias("lists"))
+        .select("lang", F.filter("words", lambda w: ~w.rlike(f"[{WIDE}]")).alias("words"), F.filter("words", lambda w: w.rlike(f"[{WIDE}]")).alias("wide"))
+        .agg(F.sort_array(F.collect_list(F.struct("lang", "words", "wide"))).alias("lists"))
     )
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -100,24 +123,26 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
         F.when(F.col("text").cast("string").rlike(r"\S"), F.translate(F.col("text").cast("string"), "\ufeff\r", "")).otherwise("").alias("t"),
     )
     lines = base.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S")))
-    lines = lines.withColumn("wide", F.regexp_replace("t", rf"[^{WIDE}]+", ""))
-    is_wide = F.length("wide") * 5 > F.length("t")
-    words = F.split(F.trim(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]+", " ")), " ")
+    lines = lines.withColumn("has_wide", F.col("t").rlike(f"[{WIDE}]"))
     parts = (
-        lines.withColumn("tokens", F.filter(F.when(is_wide, F.split("wide", "")).otherwise(words), lambda x: x != ""))
+        lines.withColumn("tokens", F.regexp_extract_all(F.lower("t"), F.lit(_TOKEN), F.lit(0)))
         .withColumn("kinds", F.array_distinct("tokens"))
         # Bound as a lambda's argument, the script of the text is looked up once and not per line.
-        .withColumn("counts", F.flatten(F.transform(F.array(is_wide), lambda w: F.transform("lines", _line_counts(w)))))
+        .withColumn("counts", F.flatten(F.transform(F.array("has_wide"), lambda w: F.transform("lines", _line_counts(w)))))
         .withColumn("facts", F.transform("counts", _line_facts))
-        .withColumn("lists", F.coalesce(lists.scalar(), F.expr("cast(array() as array<struct<lang:string,words:array<string>>>)")))
+        .withColumn("lists", F.coalesce(lists.scalar(), F.expr("cast(array() as array<struct<lang:string,words:array<string>,wide:array<string>>>)")))
     )
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kinds"))
+    wide = lambda x: F.when(F.col("has_wide") & (F.size(x["wide"]) > 0), _wide_words(F.lower("t"), x["wide"])).otherwise(none)
+    parts = parts.withColumn("listed", F.transform("lists", lambda x: F.struct(x["lang"].alias("lang"), x["words"].alias("words"), wide(x).alias("wide"))))
     hits = F.transform(
-        "lists",
+        "listed",
         lambda x: F.struct(
-            F.size(F.array_intersect(F.col("kinds"), x["words"])).alias("hits"),
+            (F.size(F.array_intersect(F.col("kinds"), x["words"])) + x["wide"]["kinds"]).alias("hits"),
             (x["lang"] == F.col("declared")).alias("same"),
             x["lang"].alias("lang"),
             x["words"].alias("words"),
+            x["wide"]["n"].alias("wide"),
         ),
     )
     parts = parts.withColumn("best", F.array_max(hits))
@@ -147,6 +172,7 @@ def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     # The list is bound as a lambda's argument, which keeps it from being looked up for every word.
     frequent = F.array(F.coalesce(F.col("best.words"), F.array().cast("array<string>")))
     common = F.aggregate(frequent, F.lit(0), lambda a, w: a + F.size(F.filter("tokens", lambda x: F.array_contains(w, x))))
+    common = common + F.coalesce(F.col("best.wide"), F.lit(0))
     columns: dict[str, Column] = {
         "word_count": n_words,
         "mean_word_length": F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(n_words, F.lit(1)),

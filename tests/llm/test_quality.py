@@ -61,3 +61,18 @@ def test_scores_and_held_out_classes(spark):
     right = guess.join(test_on, "doc_id").selectExpr("avg(int(guess = text_class))").first()[0]
     assert right > 0.9
     assert quality.classified(scores, labels).where("text_class is null").count() == 0
+
+
+def test_mixed_scripts_count_whole(spark):
+    lines = ["駅から町まで the train is late", "the cat is in the house and it sleeps well near 駅"]
+    docs = spark.createDataFrame([(1, lines[0], "ja"), (2, lines[1], "en"), (3, "駅は町の外れです。" * 2, "ja"), (4, "GPT 5 は駅で待つ。", "ja")], "doc_id long, text string, lang string")
+    words = spark.createDataFrame([*WORDS, ("ja", "で"), ("ja", "から"), ("ja", "まで")], "lang string, word string")
+    got = {r.doc_id: r for r in quality.statistics(docs, words).collect()}
+    # Above a fifth of wide characters: 6 of them and 4 words. Among から and まで, で is no word.
+    assert (got[1].word_count, got[1].language) == (10, "ja")
+    assert abs(got[1].mean_word_length - 20 / 10) < 1e-9 and abs(got[1].common_words - 2 / 10) < 1e-9
+    # Below it: 11 words and a wide character.
+    assert (got[2].word_count, got[2].language) == (12, "en")
+    assert abs(got[2].mean_word_length - 38 / 12) < 1e-9 and abs(got[2].common_words - 5 / 12) < 1e-9
+    assert got[3].word_count == 16 and abs(got[3].common_words - 6 / 16) < 1e-9
+    assert got[4].word_count == 7
