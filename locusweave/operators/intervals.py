@@ -128,6 +128,18 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> Da
         .sortWithinPartitions("__entity", "__block")
         .mapInArrow(_block_maps, "__entity string, __block bigint, __periods array<struct<s:bigint,e:bigint>>")
     )
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return (
+        joined_blocks(blocks)
+        .withColumn("__k", F.from_json("__entity", types))
+        .select(*(F.col(f"__k.{k}").alias(k) for k in keys), "kind", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
+    )
+
+
+def joined_blocks(blocks: DataFrame) -> DataFrame:
+    """``__entity, kind, s, e``: periods and gaps of whole entities from ``__entity, __block,
+    __periods``, the maps of all their blocks; what goes over block borders is put together.
+    ``blocks`` is read several times."""
     # One small row per block tells how far the blocks before it reach.
     before = Window.partitionBy("__entity").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     reach = blocks.select("__entity", "__block", F.element_at("__periods", -1)["e"].alias("__last")).select(
@@ -177,9 +189,4 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> Da
         .agg(F.max("r.s").alias("s"), F.max("r.e").alias("e"))
         .select("__entity", F.lit("period").alias("kind"), "s", "e")
     )
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    return (
-        within.unionByName(ends)
-        .withColumn("__k", F.from_json("__entity", types))
-        .select(*(F.col(f"__k.{k}").alias(k) for k in keys), "kind", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
-    )
+    return within.unionByName(ends)

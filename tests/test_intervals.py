@@ -62,3 +62,23 @@ def test_periods_across_blocks_with_dirty_rows(spark):
 def test_empty(spark):
     got = periods_and_gaps(spark.createDataFrame([], SCHEMA), ["owner", "chrom"], "start_pos", "end_pos")
     assert got.columns == ["owner", "chrom", "kind", "start_pos", "end_pos"] and got.count() == 0
+
+
+def test_streamed_periods_across_blocks(spark, tmp_path):
+    from locusweave.streaming.intervals import join_batch, latest_periods, streamed_periods
+
+    rng = random.Random(5)
+    batches = [[(1, "1", 0, 65_536), (1, "1", 140_000, 140_010)], [(1, "1", 65_536, 65_540), (2, "X", 65_530, 65_540)], [(1, "1", 65_539, 135_000), (2, "X", 65_600, 300_000)]]
+    for batch in batches:
+        batch += [(None, "2", s, s + rng.choice([5, 3000, 70_000])) for s in (rng.randrange(0, 2_000_000) for _ in range(15))]
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    write = streamed_periods(stream, ["owner", "chrom"], "start_pos", "end_pos").writeStream.outputMode("update")
+    query = write.foreachBatch(join_batch(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    name = lambda owner, chrom: f'{{"owner":{"null" if owner is None else owner},"chrom":"{chrom}"}}'
+    expected = sorted((name(o, c), *rest) for o, c, *rest in expect([r for b in batches for r in b]))
+    assert rows(latest_periods(spark, str(tmp_path / "out"))) == expected
+    assert (name(1, "1"), "period", 0, 135_000) in expected and (name(1, "1"), "gap", 135_000, 140_000) in expected
