@@ -176,10 +176,10 @@ def decide(ordered_edges: DataFrame) -> DataFrame:
     return ordered_edges.join(decided.select("chrom", "component", "accept_order", "status", "reason", "cluster_u", "cluster_v"), ["chrom", "component", "accept_order"])
 
 
-def clean_edges(edges: DataFrame, chrom: Column) -> DataFrame:
+def clean_edges(edges: DataFrame, chrom: Column, relations: tuple[str, ...] = ("cooccurring", "timing", "divergent")) -> DataFrame:
     """Delivered edges put right: canonical chromosome, relation in lower case without blanks, the
     lower position first for undirected relations (two-sided columns exchanged along), the newest
-    of repeated rows. Rows without an end, a chromosome or a known relation are left out; missing
+    of repeated rows. Rows without an end, a chromosome or one of ``relations`` are left out; missing
     counts are 0, a missing reliability is 0, and haplotypes other than HP1, HP2, MIXED and UNKNOWN
     are null."""
     relation = F.lower(F.regexp_replace("relation", r"^\s+|\s+$", ""))
@@ -203,7 +203,7 @@ def clean_edges(edges: DataFrame, chrom: Column) -> DataFrame:
         hap(F.when(turn, F.col("hap_u")).otherwise(F.col("hap_v"))).alias("hap_v"),
         "loaded_at",
     )
-    known = put.where(F.col("relation").isin("cooccurring", "timing", "divergent")).dropna(subset=["chrom", "u", "v"])
+    known = put.where(F.col("relation").isin(*relations)).dropna(subset=["chrom", "u", "v"])
     rest = ["reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v", "hap_u", "hap_v"]
     newest = known.groupBy("chrom", "u", "v", "relation").agg(F.max(F.struct("loaded_at", *rest)).alias("s"))
     rank = F.when(F.col("relation") == "cooccurring", 0).when(F.col("relation") == "divergent", 1).when(F.col("u") < F.col("v"), 2).otherwise(3)

@@ -212,13 +212,21 @@ def relation_dedup(spark, sf):
     return kept[0].unionByName(kept[1]).select("chrom", "u", "v", "relation")
 
 
-def simplified_graph(spark, sf):
-    """The simplified view of all edges: accepted ones, and rejected ones as ``unknown``."""
+def _exported(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The edges of the exported graph and its sites' annotations. Rejected edges are ``unknown``, and
+    so are those delivered under that relation, which are never decided."""
     decided = _decided(spark, sf).where("status <> 'repeated' and u <> v")
     accepted = F.col("status") == "accepted"
-    annotations = settle(graph_reports.exported_annotations(decided.where(accepted), decided.where(~accepted)))
-    exported = settle(decided.withColumn("relation", F.when(accepted, F.col("relation")).otherwise("unknown")))
-    return simplify.simplified(exported, annotations)
+    unknown = acceptance.clean_edges(table(spark, sf, "edges"), _chrom(), ("unknown",)).where("u <> v")
+    rejected = decided.where(~accepted).withColumn("relation", F.lit("unknown"))
+    rejected = settle(rejected.unionByName(unknown, allowMissingColumns=True))
+    kept = decided.where(accepted)
+    return settle(kept.unionByName(rejected)), settle(graph_reports.exported_annotations(kept, rejected))
+
+
+def simplified_graph(spark, sf):
+    """The simplified view of all edges: accepted ones, and rejected ones as ``unknown``."""
+    return simplify.simplified(*_exported(spark, sf))
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -233,16 +241,24 @@ def graph_layout(spark, sf):
 
 
 def topn_layout(spark, sf):
-    """Places of the sites of the top components in each ranking's drawing."""
-    proper = _proper(spark, sf)
-    nodes = settle(_nodes(proper))
-    top = simplify.top_components(proper, 50).select("ranking", "chrom", "component")
+    """Places of the sites of the top components of the simplified graph in each ranking's drawing."""
+    exported, annotations = _exported(spark, sf)
+    graph = settle(simplify.simplified(exported, annotations))
+    found = components(graph, ["chrom"], "u", "v").withColumnRenamed("vertex", "pos")
+    nodes = settle(found.join(annotations, ["chrom", "pos"]))
+    top = simplify.top_components(graph, 50).select("ranking", "chrom", "component")
     placed = layout.ranking_layout(nodes.join(top, ["chrom", "component"]).select("ranking", "chrom", "pos", "vaf", "haplotype"))
     height = layout.band_y(F.concat_ws(":", "chrom", "pos"), F.col("vaf"), F.col("haplotype"))
     return placed.select("ranking", "chrom", "pos", "x", F.round(height, 6).alias("y"))
 
 
+def topn_simplified(spark, sf):
+    """The rankings over the simplified graph, unknown edges included."""
+    return simplify.top_components(settle(simplified_graph(spark, sf)), 50)
+
+
 def topn_components(spark, sf):
+    """The same rankings over the proposals before acceptance."""
     return simplify.top_components(_proper(spark, sf), 50)
 
 
@@ -334,7 +350,7 @@ QUERIES = {
         regular_windows, regular_window_sites, all_windows, pair_window_assignment, window_read_patterns, relationship_calls, proposals, window_conflicts,
         edges_clean, edge_order, accepted_edges, rejected_edges, graph_connectivity, edge_haplotype_summary, component_stats,
         accepted_component_stats, cross_haplotype_filter, nearest_neighbour_thinning, condensed_nodes, condensed_edges, relation_dedup,
-        simplified_graph, graph_layout, topn_layout, topn_components, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
+        simplified_graph, graph_layout, topn_layout, topn_components, topn_simplified, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
         component_copy_number, site_label_tally, site_table, vote_table, relation_tally, component_sizes, relation_lines_read,
     )
 }

@@ -136,3 +136,21 @@ def test_layout(spark):
     y = names.limit(1).select(layout.band_y(F.lit("x"), F.lit(1.0), F.lit("HP2"))).first()[0]
     scatter = (int(hashlib.md5(b"x").hexdigest(), 16) % 1000 / 1000 - 0.5) * 35
     assert abs(y - (2 * 840 + 35 + scatter)) < 1e-9
+
+
+def test_rankings_of_the_simplified_graph(spark, tmp_path):
+    from locusweave.plans import reference
+
+    edges = [
+        ("chr1", 10, 20, C, 9.0, None, None), ("chr1", 20, 30, T, 8.0, None, None), ("chr1", 30, 40, C, 7.0, None, None),
+        ("chr1", 50, 40, " Unknown", 6.0, None, None), ("chr1", 50, 60, T, 5.0, None, "HP1"), ("chr1", 10, 20, D, 1.0, None, None),
+        ("chr1", 60, 90, "unknown", 1.0, "HP1", "HP2"), ("chr1", 70, 80, T, 9.0, "HP1", "HP2"), ("chr1", 80, 80, "unknown", 1.0, None, None),
+        ("chr2", 5, 6, T, 1.0, None, None), ("chr2", 8, 9, C, 1.0, None, None),
+    ]
+    data = [(c, u, v, r, w, 4, 2, 1, 3, 0.2, 0.2, a, b, "a") for c, u, v, r, w, a, b in edges]
+    spark.createDataFrame(data, EDGE).write.parquet(str(tmp_path / "edges.parquet"))
+    got = rows(reference.topn_simplified(spark, str(tmp_path)), "ranking", "rank", "chrom", "component", "timing_edges", "interesting_edges", "total_edges")
+    # A rejected and a delivered unknown edge count; no edge across haplotypes is left.
+    assert got == sorted((k, *rest) for k in ("timing_edges", "interesting_edges", "total_edges") for rest in ((1, "1", 10, 2, 2, 6), (2, "2", 5, 1, 1, 1)))
+    placed = rows(reference.topn_layout(spark, str(tmp_path)).where("ranking = 'timing_edges'"), "chrom", "pos", "x")
+    assert placed == [("1", p, 80.0 * i) for i, p in enumerate((10, 20, 30, 40, 50, 60))] + [("2", 5, 700.0), ("2", 6, 780.0)]
