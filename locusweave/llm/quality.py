@@ -218,6 +218,13 @@ def scored(stats: DataFrame) -> DataFrame:
     return wide.withColumn("tails", tails)
 
 
+def _training_rows(scores: DataFrame, chosen: DataFrame, features: list[str]) -> DataFrame:
+    """The chosen documents' features in one partition, in a fixed order. The join runs in all
+    partitions, and only its result, no more rows than ``chosen``, goes through the shuffle."""
+    rows = scores.join(chosen, "doc_id").where("has_text").select("doc_id", "text_class", *features)
+    return rows.repartition(1).sortWithinPartitions("doc_id")
+
+
 def classified(scores: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """``doc_id, text_class`` for the documents with text.
 
@@ -228,7 +235,7 @@ def classified(scores: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     known = labels.where("text_class is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_class").dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     features = [*STATISTICS, *(f"z_{s}" for s in STATISTICS)]
-    train = settle(scores.join(chosen, "doc_id").where("has_text").select("doc_id", "text_class", *features).coalesce(1).sortWithinPartitions("doc_id"))
+    train = settle(_training_rows(scores, chosen, features))
     if train.isEmpty():
         return scores.sparkSession.createDataFrame([], "doc_id bigint, text_class string")
     index = StringIndexer(inputCol="text_class", outputCol="label").fit(train)

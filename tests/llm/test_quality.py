@@ -1,4 +1,6 @@
 from conftest import rows
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from locusweave.llm import quality
 from locusweave.session import table
@@ -76,3 +78,15 @@ def test_mixed_scripts_count_whole(spark):
     assert abs(got[2].mean_word_length - 38 / 12) < 1e-9 and abs(got[2].common_words - 5 / 12) < 1e-9
     assert got[3].word_count == 16 and abs(got[3].common_words - 6 / 16) < 1e-9
     assert got[4].word_count == 7
+
+
+def test_only_chosen_rows_come_into_one_task(spark):
+    scores = spark.range(0, 100, numPartitions=4).selectExpr("id AS doc_id", "true AS has_text", "double(id) AS f", "spark_partition_id() AS task")
+    tasks = F.udf(lambda x: TaskContext.get().stageId(), "int")
+    chosen = spark.createDataFrame([(k, "prose") for k in (70, 3, 41)], "doc_id long, text_class string")
+    made = quality._training_rows(scores.withColumn("stage", tasks("task")), F.broadcast(chosen), ["f", "stage"])
+    assert made.rdd.getNumPartitions() == 1
+    got = made.withColumn("last", tasks("f")).collect()
+    assert [r.doc_id for r in got] == [3, 41, 70]
+    # The scores are made in an earlier stage than the one that holds everything in one partition.
+    assert all(r.stage < r["last"] for r in got)
