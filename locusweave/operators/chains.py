@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from locusweave.session import settle
 
-MOST_STEPS = 10_000
-
 
 def timing_chains(edges: DataFrame) -> DataFrame:
     """``chrom, chain_index, path``: every path from a cluster no timing edge enters to one none
@@ -27,17 +25,14 @@ def timing_chains(edges: DataFrame) -> DataFrame:
         raise ValueError("timing edges form a cycle")
     open_paths = settle(roots.select("chrom", F.col("source").alias("end"), F.array(name("source")).alias("path")))
     done = None
-    for _ in range(MOST_STEPS):
-        if open_paths.isEmpty():
-            break
+    # A path that met a cycle would come back to one of its clusters, so this ends.
+    while not open_paths.isEmpty():
         grown = open_paths.join(arcs.withColumnRenamed("source", "end"), ["chrom", "end"])
         if not grown.where(F.array_contains("path", name("target"))).isEmpty():
             raise ValueError("timing edges form a cycle")
         open_paths = settle(grown.select("chrom", F.col("target").alias("end"), F.concat("path", F.array(name("target"))).alias("path")))
         ended = open_paths.join(left, ["chrom", "end"], "left_anti").where(F.size("path") >= 3)
         done = ended if done is None else done.unionByName(ended)
-    else:
-        raise ValueError("timing edges form a cycle")
     if done is None:
         done = open_paths
     # Chains are numbered from their first cluster on, so each root's chains are ordered on their own.

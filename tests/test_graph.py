@@ -154,3 +154,9 @@ def test_rankings_of_the_simplified_graph(spark, tmp_path):
     assert got == sorted((k, *rest) for k in ("timing_edges", "interesting_edges", "total_edges") for rest in ((1, "1", 10, 2, 2, 6), (2, "2", 5, 1, 1, 1)))
     placed = rows(reference.topn_layout(spark, str(tmp_path)).where("ranking = 'timing_edges'"), "chrom", "pos", "x")
     assert placed == [("1", p, 80.0 * i) for i, p in enumerate((10, 20, 30, 40, 50, 60))] + [("2", 5, 700.0), ("2", 6, 780.0)]
+
+
+def test_a_chain_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(chains, "MOST_STEPS", 3, raising=False)  # the limit there once was
+    data = [("1", k, k + 1, T) for k in range(1, 6)]
+    assert rows(chains.timing_chains(spark.createDataFrame(data, "chrom string, source long, target long, relation string"))) == [("1", 0, ["1", "2", "3", "4", "5", "6"])]
