@@ -1,219 +1,123 @@
 """Per-document text statistics, their place in the language's distribution, and a text class.
 
-Statistics are plain column expressions over the whole text. Each one's distribution per language
-is kept in a mergeable quantile sketch, combined map-side; a value becomes a robust z-score
-against the sketch's median and quartiles, and a document whose scores lie in a tail is flagged.
-A small forest, fitted on a bounded sample of labelled documents, names the class from the scores.
+Each statistic's distribution per language is kept in a mergeable quantile sketch: counts of values
+in bins of equal relative width, which add up to the same sketch in whatever order they meet. A
+value becomes a robust z-score against the sketch's median and quartiles, and a document whose
+scores lie in a tail is flagged. A small forest, fitted on a bounded sample of labelled documents,
+names the class of flagged documents from their statistics and scores.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusweave.llm.text_counts import STATISTICS, Alphabet, FrequentWords, counted
 from locusweave.session import settle
 
 #: Labelled documents that the classifier is fitted on, at most (chosen by a hash of their id).
 SAMPLE = 6000
-TREES, DEPTH = 40, 10
+TREES, DEPTH = 50, 10
 #: A score beyond this many robust standard deviations lies in a tail.
-TAIL = 3.5
-
-WIDE = r"぀-ヿ㐀-鿿가-힯"
-#: Words of the scripts that put spaces between them, and each wide character on its own.
-_TOKEN = rf"[{WIDE}]|[\p{{L}}\p{{N}}&&[^{WIDE}]]+"
-#: A word on a line that also holds wide characters: from its first letter or digit on.
-_SPACED = rf"[\p{{L}}\p{{N}}&&[^{WIDE}]][^\s{WIDE}]*"
-_CLOSERS = r"[»\"”’'」)\]]*"
-_SENTENCE_END = rf"[.!?。！？…]+{_CLOSERS}(?=\s|$|[{WIDE}「])"
-_BULLET = r"^\s*(?:[-*•·›+>–—▪◦‣]|\d{1,4}[.)])\s"
-#: What separates cells, by kind; a semicolon or comma counts only right before the next cell.
-_CELLS = (("t", "\t", ""), ("p", "|", ""), ("s", "", r";(?=[^\s;])"), ("c", "", r",(?=[^\s,])"), ("g", "", r" {2,}(?=\S)"))
+TAIL = 2.0
+#: Frequent words of all languages that are handed to every task, at most; more are an error.
+MOST_WORDS = 100_000
+#: What counts as spread, at least, where most values of a statistic are equal.
+LEAST_SPREAD = 5e-4
+#: A sketch tells values of this relative distance apart, from the smallest on; below it is zero.
+STEP, SMALLEST = 0.01, 1e-6
 
-STATISTICS = (
-    "word_count mean_word_length longest_word symbol_ratio digit_ratio upper_ratio letter_ratio stray_ratio "
-    "punctuated_lines common_words sentence_share bullet_share grid_share grid_equal short_share line_words "
-    "distinct_sentences distinct_words distinct_lines sentence_words"
-).split()
+COUNTED = "doc_id bigint, has_text boolean, language string, listed boolean, " + ", ".join(f"{s} double" for s in STATISTICS)
 
 
-def _share_removed(text: Column, pattern: str, n: Column) -> Column:
-    """Share of the characters that match ``pattern``."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / n
+#: The language whose distribution a document belongs to.
+_LISTED = "case when listed then language end"
 
 
 def _declared(lang: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
 
 
-def _line_counts(has_wide: Column):
-    """What is counted once in each line: characters, words, sentence ends, cells by kind."""
-
-    def count(line: Column) -> Column:
-        bare = F.trim(line)
-        # Two wide characters are taken for a word, beside the words between spaces.
-        mixed = F.regexp_count(bare, F.lit(_SPACED)) + F.floor(F.regexp_count(bare, F.lit(f"[{WIDE}]")) / 2).cast("int")
-        wide = F.when(has_wide, mixed).otherwise(0)
-        cells = [(F.length(line) - F.length(F.replace(line, F.lit(c)))) if c else F.regexp_count(line, F.lit(p)) for _, c, p in _CELLS]
-        return F.struct(
-            F.length(bare).alias("n"),
-            F.greatest(F.regexp_count(bare, F.lit(r"\S+")), wide).alias("units"),
-            F.regexp_count(bare, F.lit(_SENTENCE_END)).alias("ends"),
-            bare.rlike(rf"[.!?。！？…]{_CLOSERS}$").alias("closed"),
-            line.rlike(_BULLET).alias("bullet"),
-            F.array(*cells).alias("cells"),
-        )
-
-    return count
-
-
-def _line_facts(x: Column) -> Column:
-    """What a line is, from its counts: the first kind of cell border it has tells its cells."""
-    kind, cells = F.lit(""), F.lit(0)
-    for at in reversed(range(len(_CELLS))):
-        n = F.get(x["cells"], F.lit(at))
-        kind, cells = F.when(n > 0, F.lit(_CELLS[at][0])).otherwise(kind), F.when(n > 0, n).otherwise(cells)
-    return F.struct(
-        x["n"].alias("n"),
-        x["closed"].alias("closed"),
-        ((x["ends"] > 0) & (x["units"] >= 4 * x["ends"]) & ~x["bullet"]).alias("sentences"),
-        x["bullet"].alias("bullet"),
-        (x["units"] <= 5).alias("short"),
-        kind.alias("kind"),
-        cells.alias("cells"),
-    )
-
-
-def _wide_words(text: Column, words: Column) -> Column:
-    """How often ``words`` of wide characters occur in ``text``, and how many kinds of them. The
-    longest come first, and what one took is not counted again for a shorter one inside it."""
-    ordered = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
-
-    def take(held: Column, w: Column) -> Column:
-        n = ((F.length(held["rest"]) - F.length(F.replace(held["rest"], w, F.lit("")))) / F.length(w)).cast("int")
-        return F.struct(
-            F.replace(held["rest"], w, F.lit(" ")).alias("rest"), (held["n"] + n).alias("n"), (held["kinds"] + F.when(n > 0, 1).otherwise(0)).alias("kinds")
-        )
-
-    return F.aggregate(ordered, F.struct(text.alias("rest"), F.lit(0).alias("n"), F.lit(0).alias("kinds")), take, lambda x: F.struct(x["n"], x["kinds"]))
+@lru_cache(maxsize=4)
+def _prepared(listed: tuple) -> tuple[Alphabet, FrequentWords]:
+    alphabet = Alphabet()
+    return alphabet, FrequentWords(alphabet, list(listed))
 
 
 def statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """``doc_id``, ``language`` and the columns of :data:`STATISTICS`, for each document.
+    """``doc_id``, ``has_text``, ``language``, ``listed`` (whether the language has frequent words)
+    and the columns of :data:`STATISTICS` of each document.
 
     A text's tokens are its words by letters and digits, and each wide character on its own, however
-    they are mixed; frequent words of wide characters count by their occurrences in the text.
-    Null, empty and blank texts have zero in every statistic. The language is that whose frequent
-    words the text holds most kinds of, the declared one among equals. Extra columns of either
-    table are ignored; languages without frequent words fall under the declared name.
+    they are mixed; frequent words of wide characters count by their occurrences in the text. Letter
+    case, byte-order marks and carriage returns make no difference. Null, empty and blank texts have
+    zero in every statistic. The language is that whose frequent words the text holds most kinds of,
+    the declared one among equals. Extra columns of either table are ignored; languages without
+    frequent words fall under the declared name. ``common_words`` is a small table that goes to all
+    tasks: beyond :data:`MOST_WORDS` rows it is an error.
     """
-    lists = (
-        common_words.dropna(subset=["lang", "word"])
-        .groupBy("lang")
-        .agg(F.sort_array(F.collect_set(F.lower("word"))).alias("words"))
-        .select("lang", F.filter("words", lambda w: ~w.rlike(f"[{WIDE}]")).alias("words"), F.filter("words", lambda w: w.rlike(f"[{WIDE}]")).alias("wide"))
-        .agg(F.sort_array(F.collect_list(F.struct("lang", "words", "wide"))).alias("lists"))
-    )
+    words = common_words.dropna(subset=["lang", "word"]).select("lang", F.lower("word")).where("word <> ''").distinct()
+    listed = tuple(sorted(map(tuple, words.limit(MOST_WORDS + 1).collect())))
+    if len(listed) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} frequent words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared = _prepared(listed)
+        for batch in batches:
+            yield from counted(batch, *prepared)
+
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         _declared(F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("declared"),
-        F.when(F.col("text").cast("string").rlike(r"\S"), F.translate(F.col("text").cast("string"), "\ufeff\r", "")).otherwise("").alias("t"),
-    )
-    lines = base.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S")))
-    lines = lines.withColumn("has_wide", F.col("t").rlike(f"[{WIDE}]"))
-    parts = (
-        lines.withColumn("tokens", F.regexp_extract_all(F.lower("t"), F.lit(_TOKEN), F.lit(0)))
-        .withColumn("kinds", F.array_distinct("tokens"))
-        # Bound as a lambda's argument, the script of the text is looked up once and not per line.
-        .withColumn("counts", F.flatten(F.transform(F.array("has_wide"), lambda w: F.transform("lines", _line_counts(w)))))
-        .withColumn("facts", F.transform("counts", _line_facts))
-        .withColumn("lists", F.coalesce(lists.scalar(), F.expr("cast(array() as array<struct<lang:string,words:array<string>,wide:array<string>>>)")))
-    )
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kinds"))
-    wide = lambda x: F.when(F.col("has_wide") & (F.size(x["wide"]) > 0), _wide_words(F.lower("t"), x["wide"])).otherwise(none)
-    parts = parts.withColumn("listed", F.transform("lists", lambda x: F.struct(x["lang"].alias("lang"), x["words"].alias("words"), wide(x).alias("wide"))))
-    hits = F.transform(
-        "listed",
-        lambda x: F.struct(
-            (F.size(F.array_intersect(F.col("kinds"), x["words"])) + x["wide"]["kinds"]).alias("hits"),
-            (x["lang"] == F.col("declared")).alias("same"),
-            x["lang"].alias("lang"),
-            x["words"].alias("words"),
-            x["wide"]["n"].alias("wide"),
-        ),
-    )
-    parts = parts.withColumn("best", F.array_max(hits))
-    language = F.when(F.coalesce(F.col("best.hits"), F.lit(0)) > 0, F.col("best.lang")).otherwise(F.col("declared"))
-
-    n = F.greatest(F.length("t"), F.lit(1))
-    n_words = F.size("tokens")
-    facts = F.col("facts")
-    mass = F.greatest(F.aggregate(facts, F.lit(0), lambda a, x: a + x["n"]), F.lit(1))
-
-    def lines_share(test) -> Column:
-        return F.aggregate(facts, F.lit(0), lambda a, x: a + F.when(test(x), x["n"]).otherwise(0)) / mass
-
-    neighbours = F.transform(
-        facts,
-        lambda x, i: F.struct(
-            x["n"].alias("n"),
-            ((x["kind"] != "") & (F.get(facts, i - 1)["kind"].eqNullSafe(x["kind"]) | F.get(facts, i + 1)["kind"].eqNullSafe(x["kind"]))).alias("grid"),
-            ((x["kind"] != "") & (F.get(facts, i + 1)["kind"] == x["kind"]) & (F.get(facts, i + 1)["cells"] == x["cells"])).alias("equal"),
-        ),
-    )
-    sentences = F.filter(F.transform(F.split("t", rf"[.!?。！？…]+\s*|\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    parts = parts.withColumn("grid", neighbours).withColumn("sentences", sentences)
-    grid = F.col("grid")
-    n_lines = F.greatest(F.size("lines"), F.lit(1))
-    letters = F.length(F.regexp_replace("t", r"\P{L}+", ""))
-    # The list is bound as a lambda's argument, which keeps it from being looked up for every word.
-    frequent = F.array(F.coalesce(F.col("best.words"), F.array().cast("array<string>")))
-    common = F.aggregate(frequent, F.lit(0), lambda a, w: a + F.size(F.filter("tokens", lambda x: F.array_contains(w, x))))
-    common = common + F.coalesce(F.col("best.wide"), F.lit(0))
-    columns: dict[str, Column] = {
-        "word_count": n_words,
-        "mean_word_length": F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(n_words, F.lit(1)),
-        "longest_word": F.coalesce(F.array_max(F.transform(F.split("t", r"\s+"), lambda x: F.length(x))), F.lit(0)),
-        "symbol_ratio": _share_removed(F.col("t"), r"[^\p{L}\p{N}\s.,;:!?'\"’。、！？-]+", n),
-        "digit_ratio": _share_removed(F.col("t"), r"[0-9]+", n),
-        "upper_ratio": F.length(F.regexp_replace("t", r"\P{Lu}+", "")) / F.greatest(letters, F.lit(1)),
-        "letter_ratio": letters / n,
-        "stray_ratio": _share_removed(F.col("t"), r"[�\u0080-ÿ]+", n),
-        "punctuated_lines": F.aggregate(facts, F.lit(0), lambda a, x: a + x["closed"].cast("int")) / n_lines,
-        "common_words": common / F.greatest(n_words, F.lit(1)),
-        "sentence_share": lines_share(lambda x: x["sentences"]),
-        "bullet_share": lines_share(lambda x: x["bullet"]),
-        "grid_share": F.aggregate(grid, F.lit(0), lambda a, x: a + F.when(x["grid"], x["n"]).otherwise(0)) / mass,
-        "grid_equal": F.aggregate(grid, F.lit(0), lambda a, x: a + F.when(x["equal"], x["n"]).otherwise(0)) / mass,
-        "short_share": lines_share(lambda x: x["short"]),
-        "line_words": n_words / n_lines,
-        "distinct_sentences": F.size(F.array_distinct("sentences")) / F.greatest(F.size("sentences"), F.lit(1)),
-        "distinct_words": F.size("kinds") / F.greatest(n_words, F.lit(1)),
-        "distinct_lines": F.size(F.array_distinct("lines")) / n_lines,
-        "sentence_words": n_words / F.greatest(F.size("sentences"), F.lit(1)),
-    }
-    return parts.select(
-        "doc_id", F.col("t").rlike(r"\S").alias("has_text"), language.alias("language"), *(columns[s].cast("double").alias(s) for s in STATISTICS)
+        F.col("text").cast("string").alias("text"),
     )
+    return base.mapInArrow(run, COUNTED)
+
+
+def sketches(stats: DataFrame) -> DataFrame:
+    """``language, statistic, bin, n``: the quantile sketch of each statistic (by its place in
+    :data:`STATISTICS`) over the documents with text, per listed language and, under null, of all
+    languages together. A sketch holds some 3,000 bins at most."""
+    place = lambda c: F.when(F.col(c) < SMALLEST, 0).otherwise(F.floor(F.log(F.col(c) / SMALLEST) / math.log1p(STEP)).cast("int") + 1)
+    each = F.array(*(F.struct(F.lit(k).alias("statistic"), place(s).alias("bin")) for k, s in enumerate(STATISTICS)))
+    binned = stats.where("has_text").select(F.expr(_LISTED).alias("language"), F.explode(each).alias("x")).select("language", "x.statistic", "x.bin")
+    own = binned.groupBy("language", "statistic", "bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = own.groupBy("statistic", "bin").agg(F.sum("n").alias("n"))
+    return own.where("language is not null").unionByName(whole.withColumn("language", F.lit(None).cast("string")))
+
+
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """``language, at``: the quartiles of each statistic, in order."""
+    own = Window.partitionBy("language", "statistic")
+    upto = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    value = F.when(F.col("bin") == 0, 0.0).otherwise(SMALLEST * F.pow(F.lit(1 + STEP), F.col("bin") - 0.5))
+    ranked = sketch.select("language", "statistic", value.alias("value"), upto.alias("upto"), F.sum("n").over(own).alias("of"))
+    reach = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), F.col("value"))).alias(f"q{int(100 * q)}")
+    each = ranked.groupBy("language", "statistic").agg(*map(reach, (0.25, 0.5, 0.75)))
+    return each.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("statistic", "q25", "q50", "q75"))).alias("at"))
 
 
 def scored(stats: DataFrame) -> DataFrame:
     """Adds ``z_<statistic>`` against the language's sketch, and ``tails``, the names of those
-    statistics that lie beyond :data:`TAIL`. Only documents with text shape the distributions."""
-    sketches = stats.where("has_text").groupBy("language").agg(*(F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS))
-    at = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))
-    quartiles = sketches.select("language", *(F.kll_sketch_get_quantile_double(s, at).alias(f"q_{s}") for s in STATISTICS))
-    joined = stats.join(quartiles, "language", "left")
-
-    def z(s: str) -> Column:
-        spread = F.greatest((F.get(f"q_{s}", F.lit(2)) - F.get(f"q_{s}", F.lit(0))) / 1.349, F.lit(0.02))
-        raw = (F.col(s) - F.get(f"q_{s}", F.lit(1))) / spread
+    statistics that lie beyond :data:`TAIL`. Only documents with text shape the distributions.
+    A document without a listed language, as numbers and noise tend to be, is held against all."""
+    at = quartiles(sketches(stats)).withColumnRenamed("language", "of")
+    joined = stats.join(at, F.expr(_LISTED).eqNullSafe(F.col("of")), "left")
+
+    def z(k: int) -> Column:
+        q = F.get("at", F.lit(k))
+        raw = (F.col(STATISTICS[k]) - q["q50"]) / F.greatest((q["q75"] - q["q25"]) / 1.349, F.lit(LEAST_SPREAD))
         return F.coalesce(F.greatest(F.least(raw, F.lit(1e3)), F.lit(-1e3)), F.lit(0.0))
 
-    wide = joined.select("doc_id", "has_text", "language", *STATISTICS, *(z(s).alias(f"z_{s}") for s in STATISTICS))
+    wide = joined.select("doc_id", "has_text", "language", *STATISTICS, *(z(k).alias(f"z_{s}") for k, s in enumerate(STATISTICS)))
     tails = F.filter(F.array(*(F.when(F.abs(f"z_{s}") > TAIL, F.lit(s)) for s in STATISTICS)), lambda x: x.isNotNull())
     return wide.withColumn("tails", tails)
 
@@ -226,24 +130,28 @@ def _training_rows(scores: DataFrame, chosen: DataFrame, features: list[str]) ->
 
 
 def classified(scores: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """``doc_id, text_class`` for the documents with text.
+    """``doc_id, text_class`` for the flagged documents: those with text and a score in a tail.
+    Documents in no tail are running text like most of their language and get no row.
 
-    The forest is fitted on labelled documents, at most ``sample`` of them in the order of a hash
-    of their id; labels that are null or without a document are passed over. Without any label the
-    result is empty.
+    The forest is fitted on the flagged ones of the labelled documents, of which at most ``sample``
+    are taken in the order of a hash of their id; labels that are null or without a document are
+    passed over. Without any flagged label the result is empty. Sketches, scores and fit take rows
+    in no or in a fixed order, so that a second run gives the same classes.
     """
     known = labels.where("text_class is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_class").dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     features = [*STATISTICS, *(f"z_{s}" for s in STATISTICS)]
-    train = settle(_training_rows(scores, chosen, features))
+    # Written once, as the fit and the naming both read it.
+    slim = settle(scores.select("doc_id", "has_text", (F.size("tails") > 0).alias("flagged"), *features))
+    flagged = slim.where("has_text and flagged")
+    train = settle(_training_rows(flagged, chosen, features))
     if train.isEmpty():
         return scores.sparkSession.createDataFrame([], "doc_id bigint, text_class string")
     index = StringIndexer(inputCol="text_class", outputCol="label").fit(train)
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=seed, featureSubsetStrategy="onethird"
+        featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=seed, featureSubsetStrategy="sqrt"
     )
     model = Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(train)
     assemble, trees = model.stages[1], model.stages[2]
     named = IndexToString(inputCol="prediction", outputCol="text_class", labels=index.labels)
-    guessed = named.transform(trees.transform(assemble.transform(scores.where("has_text"))))
-    return guessed.select("doc_id", "text_class")
+    return named.transform(trees.transform(assemble.transform(flagged))).select("doc_id", "text_class")

@@ -9,6 +9,7 @@ from locusweave.functions.chrom import canonical_chrom, canonical_chrom_sql
 from locusweave.llm import consolidation, cooccurrence, packing, quality, tokenizing
 from locusweave.session import settle, table
 
+PLAIN = "mean_word_length symbol_ratio digit_ratio upper_ratio letter_ratio stray_ratio punctuated_lines distinct_words line_words".split()
 ALIGNMENT = ["chrom", "bam", "read_id"]
 
 
@@ -70,6 +71,13 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return named.where("text_class <> 'prose'").select("doc_id", "text_class")
 
 
+def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of a text alone, whatever its language's frequent words and distribution."""
+    stats = quality.statistics(table(spark, sf, "documents"), table(spark, sf, "common_words"))
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("word_count", "longest_word")]
+    return stats.select("doc_id", *whole, *(F.round(c, 6).alias(c) for c in PLAIN))
+
+
 def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's text statistics, robust scores and the statistics that lie in a tail."""
     return _scores(spark, sf)
@@ -83,6 +91,7 @@ QUERIES = {
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
+    "p8_counts": p8_counts,
     "p8_statistics": p8_statistics,
 }
 
@@ -102,7 +111,31 @@ c AS (
   FROM r a JOIN r b ON a.chrom = b.chrom AND a.bam = b.bam AND a.read_id = b.read_id AND a.pos < b.pos
   GROUP BY ALL)"""
 
+_WIDE = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+
+
+def _share(pattern: str, of: str = "greatest(length(t), 1)") -> str:
+    return f"round((length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))) / CAST({of} AS double), 6)"
+
+
+_COUNTS = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN replace(replace(text, chr(65279), ''), chr(13), '') ELSE '' END AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(lower(regexp_replace(t, '{_WIDE}', ' ', 'g')), '[\p{{L}}\p{{N}}]+') AS narrow, regexp_extract_all(t, '{_WIDE}') AS wide,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM d),
+n AS (SELECT *, len(narrow) + len(wide) AS words,
+             coalesce(list_sum(list_transform(narrow, lambda x: length(x))), 0) + len(wide) AS letters FROM w)
+SELECT doc_id, words AS word_count, coalesce(list_max(list_transform(regexp_split_to_array(t, '\s+'), lambda x: length(x))), 0) AS longest_word,
+       round(CAST(letters AS double) / greatest(words, 1), 6) AS mean_word_length,
+       {_share(r"[^\p{L}\p{N}\s\v.,;:!?''\x{22}’。、！？-]+")} AS symbol_ratio, {_share("[0-9]+")} AS digit_ratio,
+       {_share(r"\p{Lu}+", r"greatest(length(regexp_replace(t, '\P{L}+', '', 'g')), 1)")} AS upper_ratio, {_share(r"\p{L}+")} AS letter_ratio,
+       {_share(r"[\x{FFFD}\x{80}-\x{FF}]+")} AS stray_ratio,
+       round(CAST(len(list_filter(lines, lambda x: regexp_matches(rtrim(x, ' '), '[.!?。！？…][»\x{{22}}”’''」)\]]*$'))) AS double) / greatest(len(lines), 1), 6) AS punctuated_lines,
+       round(CAST(len(list_distinct(narrow)) + len(list_distinct(wide)) AS double) / greatest(words, 1), 6) AS distinct_words,
+       round(CAST(words AS double) / greatest(len(lines), 1), 6) AS line_words
+FROM n"""
+
 ORACLES = {
+    "p8_counts": _COUNTS,
     "p1_found": f"""{_PAIRS}
 SELECT chrom, left_pos, right_pos FROM c
 WHERE alt_alt >= 4 AND 2 * alt_alt * total >= 3 * (alt_alt + alt_ref) * (alt_alt + ref_alt)""",

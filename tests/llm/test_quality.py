@@ -90,3 +90,53 @@ def test_only_chosen_rows_come_into_one_task(spark):
     assert [r.doc_id for r in got] == [3, 41, 70]
     # The scores are made in an earlier stage than the one that holds everything in one partition.
     assert all(r.stage < r["last"] for r in got)
+
+
+def test_counts_against_plain_reading(spark):
+    import regex
+
+    docs, words = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "common_words")
+    got = {r.doc_id: r for r in quality.statistics(docs, words).collect()}
+    wide = "぀-ヿ㐀-鿿가-힯"
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        text = (text or "").replace("﻿", "").replace("\r", "")
+        text = text if regex.search(r"[^ \t\n\x0b\f]", text) else ""
+        tokens = [t.lower() for t in regex.findall(rf"(?V1)[{wide}]|[[\p{{L}}\p{{N}}]--[{wide}]]+", text)]
+        lines = [x.strip(" ") for x in text.split("\n") if regex.search(r"[^ \t\n\x0b\f]", x)]
+        cells = [("t", x.count("\t")) if "\t" in x else ("p", x.count("|")) if "|" in x else None for x in lines]
+        row = got[doc_id]
+        assert row.word_count == len(tokens) and abs(row.distinct_words - len(set(tokens)) / max(1, len(tokens))) < 1e-9
+        assert abs(row.punctuated_lines - sum(bool(regex.search(r"[.!?。！？…][»\"”’'」)\]]*$", x)) for x in lines) / max(1, len(lines))) < 1e-9
+        bullets = [x for x in lines if regex.match(r"[ \t]*(?:[-*•·›+>–—▪◦‣]|[0-9]{1,4}[.)])[ \t]", x)]
+        assert abs(row.bullet_share - sum(map(len, bullets)) / max(1, sum(map(len, lines)))) < 1e-9
+        sure = sum(len(x) for k, x in enumerate(lines) if cells[k] and any(0 <= j < len(lines) and cells[j] and cells[j][0] == cells[k][0] for j in (k - 1, k + 1)))
+        assert row.grid_share >= sure / max(1, sum(map(len, lines))) - 1e-9
+
+
+def test_sketches_merge_and_hold_their_error(spark):
+    stats = spark.range(4000).selectExpr("id AS doc_id", "true AS has_text", "if(id % 3 = 0, 'en', 'de') AS language", "true AS listed", *(f"double(pow(1.003, id % 1999)) AS {s}" for s in quality.STATISTICS))
+    whole = {r.language: r["at"] for r in quality.quartiles(quality.sketches(stats)).collect()}
+    assert set(whole) == {"en", "de", None} and all(len(v) == len(quality.STATISTICS) for v in whole.values())
+    for language, where in (("en", "language = 'en'"), ("de", "language = 'de'"), (None, "true")):
+        exact = stats.where(where).selectExpr("percentile_disc(0.5) within group (order by word_count)").first()[0]
+        assert abs(whole[language][0]["q50"] / exact - 1) < quality.STEP
+    parts = [quality.sketches(stats.where(f"doc_id % 4 = {k}")) for k in range(4)]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    merged = merged.groupBy("language", "statistic", "bin").agg(F.sum("n").alias("n"))
+    assert rows(merged, "language", "statistic", "bin", "n") == rows(quality.sketches(stats), "language", "statistic", "bin", "n")
+
+
+def test_a_second_run_gives_the_same_classes(spark):
+    docs, words, labels = (table(spark, LARGER, t) for t in ("documents", "common_words", "doc_labels"))
+    one, two = (rows(quality.classified(quality.scored(quality.statistics(d, words)), labels)) for d in (docs, docs.repartition(7)))
+    assert one == two and len(one) > 100
+
+
+def test_too_many_frequent_words_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(quality, "MOST_WORDS", 2)
+    with pytest.raises(ValueError, match="frequent words"):
+        quality.statistics(spark.createDataFrame(DOCS, "doc_id long, text string, lang string"), spark.createDataFrame(WORDS, "lang string, word string"))
