@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: Spellings of the mitochondrial chromosome.
 MITOCHONDRIAL = ("M", "MT", "MITO")
+BLANKS = " \t\n\x0b\f\r"
 
 
 def bare_chrom(chrom: Column) -> Column:
     """Without surrounding blanks and without a leading ``chr`` of any case, in upper case."""
-    return F.upper(F.regexp_replace(F.regexp_replace(chrom, r"^\s+|\s+$", ""), r"^(?i:chr)", ""))
+    name = F.upper(F.btrim(chrom, F.lit(BLANKS)))
+    return F.when(name.startswith("CHR"), F.substring(name, 4, 2**31 - 1)).otherwise(name)
 
 
 def canonical_chrom(chrom: Column) -> Column:

@@ -2,9 +2,9 @@
 
 The state of an entity is an ordered map of disjoint intervals (:class:`IntervalMap`). An entity may
 hold any share of the rows, so its axis is cut into blocks of ``BLOCK`` positions by interval start:
-a block's map has at most ``BLOCK`` entries. Maps are built map-side first, travel to the task of
-their block, and merge there. What crosses block borders is settled from one small summary row per
-block: the furthest end seen before it.
+a block's map has at most ``BLOCK`` entries. Runs of overlapping intervals are joined map-side
+first, travel to the task of their block, and enter its map there. What crosses block borders is
+settled from one small summary row per block: the furthest end seen before it.
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from locusweave.session import settle
 
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
-#: Map-side state is handed on when it holds this many intervals, so that a task's memory is bounded.
-HELD = 400_000
+#: Rows that are joined into runs together before they are shuffled.
+HELD = 1 << 17
 
 
 class IntervalMap:
@@ -48,65 +50,75 @@ class IntervalMap:
         return list(zip(self.ends[:-1], self.starts[1:], strict=True))
 
 
-def _local_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (entity, block, start, end), the merged intervals of each entity and block."""
-    maps: dict[tuple[int, int], IntervalMap] = {}
-    held = 0
-    schema = None
+def _groups(columns: list[pa.Array]) -> np.ndarray:
+    """A number for each row, the same for rows that are equal in all columns (null equals null)."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for column in columns:
+        code = column.dictionary_encode("encode").indices.to_numpy()
+        out = np.unique(out * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    return out
+
+
+def joined_runs(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of intervals of a group that overlap or touch: a row of each run, its start, its end."""
+    order = np.lexsort((start, group))
+    places, rank = np.unique(np.concatenate([start, end]), return_inverse=True)
+    n = len(start)
+    apart = group[order] * (2 * n + 1)  # the groups lie one behind the other on one axis of ranks
+    s, e = rank[:n][order] + apart, rank[n:][order] + apart
+    reach = np.maximum.accumulate(e)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, n), bool), s[1:] > reach[:-1]]))
+    last = np.append(first[1:], n) - 1
+    return order[first], start[order[first]], places[reach[last] - apart[last]]
+
+
+def _local_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (keys, block, start, end), the joined runs of each entity and block."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+        at, start, end = joined_runs(_groups(columns[:-2]), columns[-2].to_numpy(), columns[-1].to_numpy())
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([*(c.take(take) for c in columns[:-2]), pa.array(start), pa.array(end)], schema=rows.schema)
+
     for batch in batches:
-        schema = batch.schema
-        for entity, block, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = (entity, block)
-            if (state := maps.get(key)) is None:
-                state = maps[key] = IntervalMap()
-            held += state.insert(start, end)
-        if held > HELD:
-            yield _rows(maps, schema)
-            maps, held = {}, 0
-    if maps:
-        yield _rows(maps, schema)
-
-
-def _rows(maps: dict, schema: pa.Schema) -> pa.RecordBatch:
-    entity, block, start, end = [], [], [], []
-    for (e, b), state in maps.items():
-        entity += [e] * len(state.starts)
-        block += [b] * len(state.starts)
-        start += state.starts
-        end += state.ends
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((entity, block, start, end), schema.types, strict=True)], schema=schema)
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield from flush()
+    if held:
+        yield from flush()
 
 
 def _block_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by entity and block in, one row for each block out: its periods in order."""
-    state, key, out = IntervalMap(), None, []
+    """Rows sorted by keys and block in, one row for each block out: its periods in order."""
+    state, key, out, schema = IntervalMap(), None, [], None
     for batch in batches:
-        for entity, block, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (entity, block) != key:
+        schema = batch.schema
+        *keys, starts, ends = (c.to_pylist() for c in batch.columns)
+        for now, start, end in zip(zip(*keys, strict=True), starts, ends, strict=True):
+            if now != key:
                 if key is not None:
-                    out.append((*key, state))
-                state, key = IntervalMap(), (entity, block)
+                    out.append((key, state))
+                state, key = IntervalMap(), now
                 if len(out) >= 2000:
-                    yield _block_rows(out)
+                    yield _block_rows(out, schema)
                     out = []
             state.insert(start, end)
     if key is not None:
-        out.append((*key, state))
-    if out:
-        yield _block_rows(out)
-
-
-def _block_rows(out: list) -> pa.RecordBatch:
-    period = pa.struct([("s", pa.int64()), ("e", pa.int64())])
-    lists = [[{"s": s, "e": e} for s, e in zip(m.starts, m.ends, strict=True)] for _, _, m in out]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([x[0] for x in out], pa.string()),
-            pa.array([x[1] for x in out], pa.int64()),
-            pa.array(lists, pa.list_(period)),
-        ],
-        names=["__entity", "__block", "__periods"],
+        yield _block_rows([*out, (key, state)], schema)
+
+
+def _block_rows(out: list, schema: pa.Schema) -> pa.RecordBatch:
+    period = pa.StructArray.from_arrays(
+        [pa.array([x for _, m in out for x in side(m)], pa.int64()) for side in (lambda m: m.starts, lambda m: m.ends)], names=["s", "e"]
     )
+    offsets = np.append(0, np.cumsum([len(m.starts) for _, m in out])).astype(np.int32)
+    keys = [pa.array([k[i] for k, _ in out], schema.types[i]) for i in range(len(schema) - 2)]
+    return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), period)], names=[*schema.names[:-2], "__periods"])
 
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -116,23 +128,22 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str) -> Da
     intervals. Null keys form an entity of their own; repeated rows count once; an empty input
     gives no rows; other columns of ``df`` are ignored. Writes one checkpoint of the blocks' maps.
     """
-    entity = F.to_json(F.struct(*(F.col(k) for k in keys)), {"ignoreNullFields": "false"})
     s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
-    cut = df.where((s >= 0) & (e > s)).select(
-        entity.alias("__entity"), F.shiftright(s, BLOCK_BITS).alias("__block"), s.alias("__s"), e.alias("__e")
-    )
-    flat = "__entity string, __block bigint, __s bigint, __e bigint"
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    cut = df.where((s >= 0) & (e > s)).select(*named, F.shiftright(s, BLOCK_BITS).alias("__block"), s.alias("__s"), e.alias("__e"))
+    place = [f"__k{i}" for i in range(len(keys))] + ["__block"]
+    period = StructType([StructField("s", LongType()), StructField("e", LongType())])
+    mapped = StructType([*cut.select(*place).schema.fields, StructField("__periods", ArrayType(period))])
+    # A struct of the keys is an entity's name: null fields in it are equal.
     blocks = settle(
-        cut.mapInArrow(_local_maps, flat)
-        .repartition("__entity", "__block")
-        .sortWithinPartitions("__entity", "__block")
-        .mapInArrow(_block_maps, "__entity string, __block bigint, __periods array<struct<s:bigint,e:bigint>>")
+        cut.mapInArrow(_local_runs, cut.schema)
+        .repartition(*place)
+        .sortWithinPartitions(*place)
+        .mapInArrow(_block_maps, mapped)
+        .select(F.struct(*(F.col(f"__k{i}").alias(f"k{i}") for i in range(len(keys)))).alias("__entity"), "__block", "__periods")
     )
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    return (
-        joined_blocks(blocks)
-        .withColumn("__k", F.from_json("__entity", types))
-        .select(*(F.col(f"__k.{k}").alias(k) for k in keys), "kind", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))
+    return joined_blocks(blocks).select(
+        *(F.col(f"__entity.k{i}").alias(k) for i, k in enumerate(keys)), "kind", F.col("s").alias("start_pos"), F.col("e").alias("end_pos")
     )
 
 

@@ -11,6 +11,17 @@ LEAST_INFORMATIVE, LEAST_ALT_ALT = 3, 2
 LARGEST_GAP = 1400.0
 
 
+def together(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides with equal ``keys``, by a sort-merge join that spills and that adaptive
+    execution splits where a key is hot. The keys' hash leads: rows are sorted by one number, and
+    compared in full only where it is equal. Columns other than the keys must differ."""
+    other = two.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.xxhash64(*keys) == F.xxhash64(*(f"__{k}" for k in keys))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return one.join(other.hint("merge"), same).drop(*(f"__{k}" for k in keys))
+
+
 def pair_candidates(resolved: DataFrame, read: list[str]) -> DataFrame:
     """``chrom, left_pos, right_pos`` with the four counts over the reads that cover both sites.
 
@@ -19,7 +30,7 @@ def pair_candidates(resolved: DataFrame, read: list[str]) -> DataFrame:
     """
     one = resolved.select(*read, F.col("pos").alias("left_pos"), F.col("allele").alias("l"))
     two = resolved.select(*read, F.col("pos").alias("right_pos"), F.col("allele").alias("r"))
-    both = one.join(two.hint("merge"), read).where("left_pos < right_pos")
+    both = together(one, two, read).where("left_pos < right_pos")
     code = 2 * (1 - F.col("l")) + 1 - F.col("r")
     counts = [F.count_if(code == k).alias(n) for k, n in enumerate(("alt_alt", "alt_ref", "ref_alt", "ref_ref"))]
     counted = both.groupBy("chrom", "left_pos", "right_pos").agg(*counts)

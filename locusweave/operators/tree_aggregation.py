@@ -1,9 +1,9 @@
 """Per-key aggregates that stay balanced when a few keys hold most of the rows.
 
-A plain ``groupBy(key)`` sends every partial state of a key to one reducer. Here the rows are cut
-into chunks of about ``chunk_rows`` rows by a hash of their content, each (key, chunk) becomes one
-state, and states merge in rounds of ``fan_in`` until one per key is left, so that no task ever
-merges more than ``fan_in`` states of a key at a time, however many rows the key has.
+A plain ``groupBy(key)`` sends every partial state of a key to one reducer. Here the chunk that a
+task reads is combined where it lies, one state per key, and states merge in rounds of ``fan_in``
+until one per key is left, so that no task ever merges more than ``fan_in`` states of a key at a
+time, however many rows the key has.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1 << 16
 FAN_IN = 16
 
 
@@ -37,33 +36,26 @@ class State:
         }[self.how](column).alias(self.name)
 
 
-def tree_aggregate(
-    df: DataFrame,
-    keys: list[str],
-    states: list[State],
-    row_count: int,
-    chunk_rows: int = CHUNK_ROWS,
-    fan_in: int = FAN_IN,
-) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], states: list[State], chunks: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row per distinct ``keys`` with the merged ``states``.
 
-    ``row_count`` is the number of rows of ``df`` or an upper bound of it; it only sets how many
-    chunks there are. The chunk of a row depends on nothing but its content, so a task that runs
-    again after an executor was lost makes the same chunks. Null keys form a group like any other;
-    an empty input gives no rows. Rows of equal content share a chunk: make them distinct first, or
-    rely on the map-side combine that Spark does before every round's shuffle.
+    A chunk is what one task of ``df`` holds: a partition of a file scan
+    (``spark.sql.files.maxPartitionBytes``) or of a shuffle
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), both of a set size. A task hands on one
+    state per key, so that the first shuffle carries keys times tasks at most. ``chunks`` is how many
+    tasks there are, or about (more of them share chunks); it sets the number of rounds, and is the
+    number of shuffle partitions unless given. All rows of a task are in one chunk: a task that runs
+    again after an executor was lost makes the same states, in whatever order its rows come. Null
+    keys form a group like any other; an empty input gives no rows.
     """
-    chunks = max(1, math.ceil(row_count / chunk_rows))
+    chunks = max(1, chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chunk = "__chunk"
-    cut = df.withColumn(chunk, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(chunks)))
-    merged = cut.groupBy(*keys, chunk).agg(*(s.start.alias(s.name) for s in states))
-    while chunks > 1:
+    merged, start = df.withColumn(chunk, F.pmod(F.spark_partition_id(), F.lit(chunks))), True
+    while chunks > 1 or start:
         chunks = math.ceil(chunks / fan_in)
-        merged = (
-            merged.withColumn(chunk, F.floor(F.col(chunk) / fan_in))
-            .groupBy(*keys, chunk)
-            .agg(*(s.merge() for s in states))
-        )
+        wider = merged.withColumn(chunk, F.floor(F.col(chunk) / fan_in))
+        merged = wider.groupBy(*keys, chunk).agg(*(s.start.alias(s.name) if start else s.merge() for s in states))
+        start = False
     return merged.drop(chunk)
 
 

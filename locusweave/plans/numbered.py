@@ -14,20 +14,18 @@ from locusweave.sources.delivered_lines import failures, parse_copy_number, pars
 PAIR_COLUMNS = "position1, position2, relation, alt_alt, alt_ref, ref_alt, ref_ref, total, vaf1, vaf2"
 
 
-def _accepted(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    raw = table(spark, sf, "expected_output")
-    return distinct_accepted_pairs(raw, canonical_chrom(F.col("chr"))), raw.count()
+def _accepted(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct_accepted_pairs(table(spark, sf, "expected_output"), canonical_chrom(F.col("chr")))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Chromosomes that hold at least a tenth of the accepted pairs."""
-    pairs, rows = _accepted(spark, sf)
-    return dominant_keys(tree_aggregate(pairs, ["chrom"], [State("n", F.count(F.lit(1)))], rows), "chrom", "n", 10)
+    counts = tree_aggregate(_accepted(spark, sf), ["chrom"], [State("n", F.count(F.lit(1)))])
+    return dominant_keys(counts, "chrom", "n", 10)
 
 
 def p2_figures(spark: SparkSession, sf: str) -> DataFrame:
     """Figures per chromosome over the accepted pairs, each from mergeable states."""
-    pairs, rows = _accepted(spark, sf)
     relation = F.lower(F.trim("relation"))
     one = F.lit(1).cast("bigint")
     states = [
@@ -39,7 +37,7 @@ def p2_figures(spark: SparkSession, sf: str) -> DataFrame:
         State("vaf_n", F.count("vaf1")),
         State("vaf_sum", F.sum("vaf1")),
     ]
-    merged = tree_aggregate(pairs, ["chrom"], states, rows)
+    merged = tree_aggregate(_accepted(spark, sf), ["chrom"], states)
     mean = F.round(F.try_divide(F.col("vaf_sum"), F.col("vaf_n")), 6)
     return merged.withColumn("mean_vaf1", mean).drop("vaf_n", "vaf_sum")
 
@@ -71,14 +69,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_loaded_copy_number(spark: SparkSession, sf: str) -> DataFrame:
     """The valid copy-number lines as typed rows."""
     rows = parse_copy_number(table(spark, sf, "cn_profile_raw")).where("reason is null")
-    return rows.select("line_id", "row.*")
+    return rows.select("line_id", "row.*").withColumn("extra", F.array_join("extra", "|"))
 
 
 def p5_loaded_pileup(spark: SparkSession, sf: str) -> DataFrame:
     """The valid pileup lines: one row per line and input, with the read names and base letters."""
     rows = parse_pileup(table(spark, sf, "pileup_raw")).where("reason is null")
     return rows.select("line_id", "row.chrom", "row.pos", "row.ref", F.posexplode("row.inputs").alias("bam", "i")).select(
-        "line_id", "chrom", "pos", "ref", "bam", "i.*"
+        "line_id", "chrom", "pos", "ref", "bam", "i.depth", "i.symbols", "i.quals", F.array_join("i.names", ",").alias("names")
     )
 
 
@@ -108,37 +106,51 @@ def _whole(text: str, least: int) -> str:
 
 
 # Each step of ``t`` takes the bases before the next inserted or deleted stretch, and that stretch.
-_FAILURES = rf"""
+_LINES = rf"""
 WITH RECURSIVE l AS (SELECT line_id, string_split(line, chr(9)) AS f FROM pileup_raw WHERE {_CONTENT}),
 w AS (SELECT line_id, f, len(f) >= 7 AND len(f) % 4 = 3 AS wide FROM l),
 i AS (SELECT line_id, k, f[4 + 4 * k] AS depth, f[5 + 4 * k] AS bases, f[6 + 4 * k] AS quals, f[7 + 4 * k] AS names
       FROM (SELECT line_id, f, unnest(range((len(f) - 3) // 4)) AS k FROM w WHERE wide)),
 d AS (SELECT *, {_whole("depth", 0)} AS counted, TRY_CAST(depth AS hugeint) AS n FROM i),
-t AS (SELECT line_id, k, bases AS rest, CAST(0 AS bigint) AS letters, false AS broken FROM d WHERE counted AND n > 0
+t AS (SELECT line_id, k, bases AS rest, '' AS letters, false AS broken FROM d WHERE counted AND n > 0
       UNION ALL
-      SELECT line_id, k, CASE WHEN bad OR tail = '' THEN '' ELSE substr(tail, 2 + length(digits) + CAST(digits AS int)) END, letters + more, bad FROM (
+      SELECT line_id, k, CASE WHEN bad OR tail = '' THEN '' ELSE substr(tail, 2 + length(digits) + CAST(digits AS int)) END, letters || more, bad FROM (
         SELECT *, tail <> '' AND NOT coalesce({_whole("digits", 1)} AND 1 + length(digits) + TRY_CAST(digits AS bigint) <= length(tail), false) AS bad FROM (
           SELECT *, regexp_extract(tail, '^[+-]([0-9]+)', 1) AS digits FROM (
-            SELECT *, substr(rest, length(run) + 1) AS tail, length(regexp_replace(run, '\^(?s:.)|\$', '', 'g')) AS more FROM (
+            SELECT *, substr(rest, length(run) + 1) AS tail, regexp_replace(run, '\^(?s:.)|\$', '', 'g') AS more FROM (
               SELECT *, regexp_extract(rest, '^(?:\^(?s:.)|[^\^+-])*') AS run FROM t WHERE rest <> ''))))),
-b AS (SELECT line_id, k, max(letters) AS letters, bool_or(broken) AS broken FROM t GROUP BY ALL),
+b AS (SELECT line_id, k, arg_max(letters, length(letters)) AS letters, bool_or(broken) AS broken FROM t GROUP BY line_id, k),
 v AS (SELECT d.line_id, bool_or(NOT counted) AS depth, bool_or(n > 0 AND len(string_split(names, ',')) <> n) AS names,
-             bool_or(n > 0 AND (broken OR letters <> n)) AS bases, bool_or(n > 0 AND length(quals) <> n) AS quals
+             bool_or(n > 0 AND (broken OR length(letters) <> n)) AS bases, bool_or(n > 0 AND length(quals) <> n) AS quals
       FROM d LEFT JOIN b ON b.line_id = d.line_id AND b.k = d.k GROUP BY d.line_id),
 p AS (SELECT w.line_id, CASE WHEN NOT wide THEN 'columns' WHEN NOT {_whole("f[2]", 1)} THEN 'position' WHEN depth THEN 'depth' WHEN names THEN 'names'
              WHEN bases THEN 'bases' WHEN quals THEN 'quals' END AS reason FROM w LEFT JOIN v ON v.line_id = w.line_id),
 c AS (SELECT line_id, regexp_full_match(line, '(?s:(?:{_FIELD})(?:\t(?:{_FIELD}))*)') AS quoted,
              list_transform(regexp_extract_all(chr(9) || line, '\t({_FIELD})', 1),
-               lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, {_BLANK})) AS f
+               lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS g,
+             list_transform(g, lambda x: trim(x, {_BLANK})) AS f
       FROM cn_profile_raw WHERE {_CONTENT}),
-q AS (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) < 9 THEN 'columns' WHEN f[1] = '' THEN 'chrom'
+q AS (SELECT line_id, f, g, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) < 9 THEN 'columns' WHEN f[1] = '' THEN 'chrom'
              WHEN NOT ({_whole("f[2]", 0)} AND {_whole("f[3]", 0)}) OR TRY_CAST(f[3] AS hugeint) <= TRY_CAST(f[2] AS hugeint) THEN 'coordinates'
-             WHEN NOT (regexp_full_match(lower(f[5]), {_STATE}) AND regexp_full_match(lower(f[8]), {_STATE})) THEN 'state' END AS reason FROM c)
+             WHEN NOT (regexp_full_match(lower(f[5]), {_STATE}) AND regexp_full_match(lower(f[8]), {_STATE})) THEN 'state' END AS reason FROM c)"""
+_FAILURES = f"""{_LINES}
 SELECT 'pileup_raw' AS raw_table, line_id, reason FROM p WHERE reason IS NOT NULL
 UNION ALL SELECT 'cn_profile_raw', line_id, reason FROM q WHERE reason IS NOT NULL"""
 
+_NUMBER = "[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?"
+_TRACK_COLUMNS = ("hp1_coverage", "hp1_state", "hp1_confidence", "hp2_coverage", "hp2_state", "hp2_confidence")
+
 ORACLES = {
     "p5_found": _FAILURES,
+    "p5_loaded_copy_number": f"""{_LINES}
+SELECT line_id, f[1] AS chrom, CAST(f[2] AS int) AS start_pos, CAST(f[3] AS int) AS end_pos,
+       {", ".join(f"CASE WHEN regexp_full_match(f[{k}], '{_NUMBER}') THEN CAST(f[{k}] AS double) END AS {c}" for k, c in enumerate(_TRACK_COLUMNS, 4))}, array_to_string(g[10:], '|') AS extra
+FROM q WHERE reason IS NULL""",
+    "p5_loaded_pileup": f"""{_LINES}
+SELECT d.line_id, w.f[1] AS chrom, CAST(w.f[2] AS int) AS pos, w.f[3] AS ref, CAST(d.k AS int) AS bam, CAST(d.n AS int) AS depth,
+       CASE WHEN d.n > 0 THEN b.letters ELSE '' END AS symbols, CASE WHEN d.n > 0 THEN d.quals ELSE '' END AS quals,
+       CASE WHEN d.n > 0 THEN d.names ELSE '' END AS names
+FROM d JOIN p ON p.line_id = d.line_id AND p.reason IS NULL JOIN w ON w.line_id = d.line_id LEFT JOIN b ON b.line_id = d.line_id AND b.k = d.k""",
     "p2_found": f"""
 WITH d AS ({_DISTINCT}), c AS (SELECT chrom, count(*) AS n FROM d GROUP BY chrom)
 SELECT chrom FROM c WHERE n * 10 >= (SELECT sum(n) FROM c)""",

@@ -1,9 +1,11 @@
 """Delivered text lines, of which some do not parse: loaded rows and failures with a reason.
 
-Each block of lines goes through a bulk parser that works on whole Arrow columns and refuses the
-block as soon as any line in it is off. A refused block is halved until the offending lines stand
-(nearly) alone; only those are read strictly, field by field, which names the reason. The bulk parsers may
-refuse a good line (the strict reader then loads it) but never pass a bad one.
+Each block of lines goes through a bulk parser that works on whole Arrow columns and says which
+lines it refuses. A block with a refused line is halved, and so are its halves, until each of those
+lines stands alone; what a half would say if it were parsed again is known from the running number
+of refused lines, so that a half costs a subtraction and not another pass. The lines that stand
+alone are read strictly, field by field, which names the reason. The bulk parsers may refuse a good
+line (the strict reader then loads it) but never pass a bad one.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1024
-#: A refused block this small is read strictly line by line: a further bulk pass would cost more.
-LEAF_ROWS = 8
+#: A block has as many lines, or less where they are long; a longer line is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 INT_MAX = 2147483647
 #: How a missing state is written, in lower case.
 MISSING = ("", "na", "nan", "null", ".")
@@ -39,16 +40,6 @@ _CN = pa.struct(
 )
 
 
-class Refused(Exception):
-    """A block holds a line that the bulk parser will not take."""
-
-
-def _need(ok: pa.Array | pa.ChunkedArray | np.ndarray) -> None:
-    good = bool(ok.all()) if isinstance(ok, np.ndarray) else pc.all(ok).as_py() is not False
-    if not good:
-        raise Refused
-
-
 def _integer(text: str, least: int) -> int | None:
     """ASCII digits only, from ``least`` to the largest int; else null."""
     if not text or not text.isascii() or not text.isdigit():
@@ -58,81 +49,94 @@ def _integer(text: str, least: int) -> int | None:
     return value if least <= value <= INT_MAX else None
 
 
-def _integers(column: pa.Array, least: int) -> pa.Array:
-    _need(pc.match_substring_regex(column, r"\A[0-9]{1,10}\z"))
-    values = pc.cast(column, pa.int64())
-    _need(pc.and_(pc.greater_equal(values, least), pc.less_equal(values, INT_MAX)))
-    return pc.cast(values, pa.int32())
+def _integers(column: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values, and which of them are integers from ``least`` on of up to ten digits."""
+    shaped = pc.match_substring_regex(column, r"\A[0-9]{1,10}\z")
+    values = pc.cast(pc.if_else(shaped, column, pa.scalar("0")), pa.int64()).to_numpy()
+    return values, _mask(shaped) & (values >= least) & (values <= INT_MAX)
+
+
+def _mask(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _cells(lines: pa.Array, least: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All fields between tabs, where each line's first one lies, and how many it has. A line of
+    less than ``least`` fields is given the place of the first line that has them, or -1."""
+    fields = pc.split_pattern(lines, "\t")
+    width = pc.list_value_length(fields).to_numpy()
+    at = fields.offsets.to_numpy()[:-1].astype(np.int64)
+    at = at - at[0] if len(at) else at
+    wide = np.flatnonzero(width >= least)
+    return fields.flatten(), np.where(width >= least, at, at[wide[0]] if len(wide) else -1), width
 
 
 # ---------------------------------------------------------------- pileup lines
 
 
-_DIGITS = re.compile(r"[0-9]+")
+#: A read's start with its mapping quality, a read's end, the head of an insertion or deletion, or
+#: a run of bases.
+_PIECE = re.compile(r"\^.|\$|[-+]([0-9]+)|[^-+^$]+", re.DOTALL)
+#: The same syntax in one go, for insertions and deletions of up to so many bases.
+_LONGEST = 40
+_SYNTAX = r"(?s)\^.|\$|[-+]0*(?:" + "|".join(rf"{n}[^0-9].{{{n - 1}}}" for n in range(1, _LONGEST + 1)) + ")"
 
 
 def base_symbols(raw: str) -> str | None:
     """The base letters of a pileup string without its control syntax; null if it is malformed."""
-    symbols, i, n = [], 0, len(raw)
-    while i < n:
-        c = raw[i]
-        if c == "^":
-            i += 2
-            if i > n:
-                return None
-        elif c == "$":
-            i += 1
-        elif c in "+-":
-            digits = _DIGITS.match(raw, i + 1)
-            length = _integer(digits[0], 1) if digits else None
-            if length is None or digits.end() + length > n:
-                return None
-            i = digits.end() + length
-        else:
-            symbols.append(c)
-            i += 1
-    return "".join(symbols)
-
-
-def bulk_pileup(lines: pa.Array) -> pa.Array:
-    fields = pc.split_pattern(lines, "\t")
-    width = pc.list_value_length(fields).to_numpy()
-    _need((width >= 7) & (width % 4 == 3))
-    at = fields.offsets.to_numpy()[:-1].astype(np.int64)
-    flat = fields.flatten()
-    at = at - at[0] if len(at) else at
-    pos = _integers(flat.take(pa.array(at + 1)), 1)
-    inputs = (width - 3) // 4
+    kept, end = [], 0
+    while end < len(raw):
+        piece = _PIECE.match(raw, end)
+        if piece is None:
+            return None
+        end = piece.end()
+        if piece[1] is not None:
+            end += _integer(piece[1], 1) or len(raw) + 1
+        elif piece[0][0] not in "^$":
+            kept.append(piece[0])
+    return "".join(kept) if end == len(raw) else None
+
+
+def bulk_pileup(lines: pa.Array) -> tuple[np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """Which lines are refused, and a function that makes the rows of given other ones."""
+    flat, at, width = _cells(lines, 7)
+    refused = (width < 7) | (width % 4 != 3)
+    if (at < 0).any():
+        return refused, lambda keep: pa.array([], _PILEUP)
+    pos, whole = _integers(flat.take(pa.array(at + 1)), 1)
+    refused |= ~whole
+    inputs = np.where(refused, 0, (width - 3) // 4)
     row = np.repeat(np.arange(len(width)), inputs)
     first = np.cumsum(inputs) - inputs
     depth_at = at[row] + 3 + 4 * (np.arange(len(row)) - first[row])
-    depth = _integers(flat.take(pa.array(depth_at)), 0)
-    covered = depth.to_numpy() > 0
-    used = pa.array(covered)
-    bases, quals, names = (flat.take(pa.array(depth_at + k)) for k in (1, 2, 3))
-    listed = pc.split_pattern(names, ",")
-    d = depth.to_numpy()
-    _need(~covered | (pc.list_value_length(listed).to_numpy() == d))
-    plain = pc.replace_substring_regex(bases, r"(?s)\^.|\$", "")
-    odd = pc.match_substring_regex(bases, r"[-+]|\^\z").to_numpy(zero_copy_only=False) & covered
-    if odd.any():
-        values, raw = plain.to_pylist(), bases.to_pylist()
-        for i in np.flatnonzero(odd).tolist():
-            if (symbols := base_symbols(raw[i])) is None or len(symbols) != d[i]:
-                raise Refused
-            values[i] = symbols
-        plain = pa.array(values, pa.string())
-    _need(~covered | (pc.utf8_length(plain).to_numpy() == d))
-    _need(~covered | (pc.utf8_length(quals).to_numpy() == d))
-    empty = pa.scalar("", pa.string())
-    packed = pa.StructArray.from_arrays(
-        [depth, pc.if_else(used, plain, empty), pc.if_else(used, quals, empty), pc.if_else(used, listed, pa.scalar([], listed.type))],
-        fields=list(_INPUT),
-    )
-    offsets = pa.array(np.append(first, len(row)).astype(np.int32))
-    return pa.StructArray.from_arrays(
-        [flat.take(pa.array(at)), pos, flat.take(pa.array(at + 2)), pa.ListArray.from_arrays(offsets, packed)], fields=list(_PILEUP)
-    )
+    depth, counted = _integers(flat.take(pa.array(depth_at)), 0)
+    size, commas = pc.utf8_length(flat).to_numpy(), pc.count_substring(flat, ",").to_numpy()
+    plain = pc.replace_substring_regex(flat.take(pa.array(depth_at + 1)), _SYNTAX, "")
+    clean = ~_mask(pc.match_substring_regex(plain, r"[-+^]")) & (pc.utf8_length(plain).to_numpy() == depth)
+    fits = (commas[depth_at + 3] + 1 == depth) & clean & (size[depth_at + 2] == depth)
+    refused[row[~(counted & (fits | (depth == 0)))]] = True
+
+    def rows(keep: np.ndarray) -> pa.Array:
+        mine = np.flatnonzero(~refused[row])
+        own = pa.array(depth_at[mine])
+        used = pa.array(depth[mine] > 0)
+        empty = pa.scalar("", pa.string())
+        quals, names = (flat.take(pc.add(own, k)) for k in (2, 3))
+        listed = pc.split_pattern(names, ",")
+        packed = pa.StructArray.from_arrays(
+            [
+                pa.array(depth[mine], pa.int32()),
+                pc.if_else(used, plain.take(pa.array(mine)), empty),
+                pc.if_else(used, quals, empty),
+                pc.if_else(used, listed, pa.scalar([], listed.type)),
+            ],
+            fields=list(_INPUT),
+        )
+        offsets = pa.array(np.append(0, np.cumsum(inputs[keep])).astype(np.int32))
+        chrom, ref = (flat.take(pa.array(at[keep] + k)) for k in (0, 2))
+        return pa.StructArray.from_arrays([chrom, pa.array(pos[keep], pa.int32()), ref, pa.ListArray.from_arrays(offsets, packed)], fields=list(_PILEUP))
+
+    return refused, rows
 
 
 def strict_pileup(line: str) -> tuple[str | None, dict | None]:
@@ -164,6 +168,7 @@ def strict_pileup(line: str) -> tuple[str | None, dict | None]:
 
 _BLANKS = " \t\r\n\f\v"
 _STATE = re.compile(r"[0-9]+(?:\.[0-9]+)?", re.ASCII)
+_ANY_STATE = r"(?i)\A(?:" + "|".join(map(re.escape, MISSING)) + r"|[0-9]+(?:\.[0-9]+)?)\z"
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
@@ -202,35 +207,41 @@ def _number(text: str) -> float | None:
     return float(text) if re.fullmatch(_NUMBER, text, re.ASCII) else None
 
 
-def bulk_cn(lines: pa.Array) -> pa.Array:
-    fields = pc.split_pattern(lines, "\t")
-    width = pc.list_value_length(fields).to_numpy()
-    _need(width >= 9)
-    at = fields.offsets.to_numpy()[:-1].astype(np.int64)
-    flat = fields.flatten()
-    at = at - at[0] if len(at) else at
+def bulk_cn(lines: pa.Array) -> tuple[np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """As :func:`bulk_pileup`, for lines of a copy-number profile."""
+    flat, at, width = _cells(lines, 9)
+    refused = width < 9
+    if (at < 0).any():
+        return refused, lambda keep: pa.array([], _CN)
     quoted = pc.starts_with(flat, '"')
     if pc.any(quoted).as_py():
         # Quoted fields with a tab or a quote inside are the strict reader's business.
-        _need(pc.or_(pc.invert(quoted), pc.match_substring_regex(flat, r'\A"[^"]*"\z')))
-        flat = pc.if_else(quoted, pc.utf8_slice_codeunits(flat, 1, -1), flat)
-    column = [pc.utf8_trim(flat.take(pa.array(at + k)), characters=_BLANKS) for k in range(9)]
-    _need(pc.not_equal(column[0], ""))
-    start, end = _integers(column[1], 0), _integers(column[2], 0)
-    _need(pc.greater(end, start))
-    out = [column[0], start, end]
-    for k in range(3, 9):
-        missing = pc.is_in(pc.utf8_lower(column[k]), pa.array(MISSING))
-        if k in (4, 7):
-            _need(pc.or_(missing, pc.match_substring_regex(column[k], r"\A[0-9]+(?:\.[0-9]+)?\z")))
-        number = pc.match_substring_regex(column[k], rf"\A{_NUMBER}\z")
-        out.append(pc.cast(pc.if_else(number, column[k], pa.scalar(None, pa.string())), pa.float64()))
-    # The optional columns are what is left of each line's run of fields.
-    extra = width - 9
-    ends = np.cumsum(extra)
-    take = np.repeat(at + 9 - (ends - extra), extra) + np.arange(ends[-1] if len(ends) else 0)
-    rest = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat.take(pa.array(take)))
-    return pa.StructArray.from_arrays([*out, rest], fields=list(_CN))
+        simple = pc.match_substring_regex(flat, r'\A"[^"]*"\z')
+        refused[np.repeat(np.arange(len(width)), width)[_mask(pc.and_not(quoted, simple))]] = True
+        flat = pc.if_else(pc.and_(quoted, simple), pc.utf8_slice_codeunits(flat, 1, -1), flat)
+    column = lambda k, lines_at=at: pc.utf8_trim(flat.take(pa.array(lines_at + k)), characters=_BLANKS)
+    refused |= _mask(pc.equal(column(0), ""))
+    start, from_ok = _integers(column(1), 0)
+    end, to_ok = _integers(column(2), 0)
+    refused |= ~(from_ok & to_ok & (end > start))
+    for k in (4, 7):
+        refused |= ~_mask(pc.match_substring_regex(column(k), _ANY_STATE))
+
+    def rows(keep: np.ndarray) -> pa.Array:
+        own = at[keep]
+        out = [column(0, own), pa.array(start[keep], pa.int32()), pa.array(end[keep], pa.int32())]
+        for k in range(3, 9):
+            text = column(k, own)
+            number = pc.match_substring_regex(text, rf"\A{_NUMBER}\z")
+            out.append(pc.cast(pc.if_else(number, text, pa.scalar(None, pa.string())), pa.float64()))
+        # The optional columns are what is left of each line's run of fields.
+        extra = width[keep] - 9
+        ends = np.cumsum(extra)
+        take = np.repeat(own + 9 - (ends - extra), extra) + np.arange(ends[-1] if len(ends) else 0)
+        rest = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat.take(pa.array(take)))
+        return pa.StructArray.from_arrays([*out, rest], fields=list(_CN))
+
+    return refused, rows
 
 
 def strict_cn(line: str) -> tuple[str | None, dict | None]:
@@ -256,50 +267,69 @@ def strict_cn(line: str) -> tuple[str | None, dict | None]:
 # ---------------------------------------------------------------- blocks
 
 
-def parse_block(lines: list[str], bulk: Callable, strict: Callable, packed: pa.DataType) -> tuple[list[str | None], pa.Array]:
-    """Reasons (null where the line is valid) and parsed rows (null where it is not), in order."""
-    reasons: list[str | None] = [None] * len(lines)
-    parts: list[pa.Array] = []
-    todo = [(0, len(lines))]
+def isolated(refused: np.ndarray) -> list[int]:
+    """The places of the refused lines of a block, found by halving it."""
+    upto = np.append(0, np.cumsum(refused)).tolist()
+    found, todo = [], [(0, len(refused))]
     while todo:
         lo, hi = todo.pop()
-        if lo == hi:
-            continue
-        try:
-            parts.append(bulk(pa.array(lines[lo:hi], pa.string())))
+        if upto[lo] == upto[hi]:
             continue
-        except (Refused, pa.ArrowInvalid):
-            pass
-        if hi - lo <= LEAF_ROWS:
-            read = [strict(line) for line in lines[lo:hi]]
-            reasons[lo:hi] = [reason for reason, _ in read]
-            parts.append(pa.array([row for _, row in read], packed))
+        if hi - lo == 1:
+            found.append(lo)
         else:
             middle = (lo + hi) // 2
-            todo += [(middle, hi), (lo, middle)]  # the left half is taken first: parts stay in order
-    return reasons, pa.concat_arrays(parts) if parts else pa.array([], packed)
+            todo += [(middle, hi), (lo, middle)]  # the left half is taken first
+    return found
 
 
-def _loader(bulk: Callable, strict: Callable, packed: pa.DataType) -> Callable:
+def parse_block(lines: pa.Array, bulk: Callable, strict: Callable, packed: pa.DataType | None) -> tuple[list[str | None], pa.Array | None]:
+    """Reasons (null where the line is valid) and, if their type is given, parsed rows (null where
+    it is not), in order."""
+    refused, rows = bulk(lines)
+    alone = isolated(refused)
+    read = [strict(line) for line in lines.take(pa.array(alone, pa.int64())).to_pylist()]
+    reasons: list[str | None] = [None] * len(lines)
+    for at, (reason, _) in zip(alone, read, strict=True):
+        reasons[at] = reason
+    if packed is None:
+        return reasons, None
+    keep = np.flatnonzero(~refused)
+    both = pa.concat_arrays([rows(keep), pa.array([row for _, row in read], packed)])
+    return reasons, both.take(pa.array(np.argsort(np.concatenate([keep, np.array(alone, np.int64)]), kind="stable")))
+
+
+def _blocks(lines: pa.Array) -> Iterator[tuple[int, int]]:
+    upto = np.append(0, np.cumsum(pc.binary_length(lines).to_numpy()))
+    lo = 0
+    while lo < len(lines):
+        hi = min(len(lines), lo + BLOCK_ROWS, int(np.searchsorted(upto, upto[lo] + BLOCK_BYTES, "right")) - 1)
+        yield lo, max(lo + 1, hi)
+        lo = max(lo + 1, hi)
+
+
+def _loader(bulk: Callable, strict: Callable, packed: pa.DataType | None) -> Callable:
+    """Loads all lines, or without a type of rows only tells the failing ones."""
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                ids, lines = batch.slice(at, BLOCK_ROWS).columns
-                reasons, rows = parse_block(lines.to_pylist(), bulk, strict, packed)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(reasons, pa.string()), rows], names=["line_id", "reason", "row"])
+            ids, text = batch.columns
+            for lo, hi in _blocks(text):
+                reasons, rows = parse_block(text.slice(lo, hi - lo), bulk, strict, packed)
+                out = pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(reasons, pa.string())], names=["line_id", "reason"])
+                yield out.filter(pc.is_valid(out.column(1))) if rows is None else out.append_column("row", rows)
 
     return load
 
 
+def _content(raw: DataFrame) -> DataFrame:
+    line = F.col("line").cast("string")
+    kept = raw.where(line.isNotNull() & line.rlike(r"\S") & ~line.startswith("#"))
+    return kept.select(F.col("line_id").cast("bigint").alias("line_id"), line.alias("line"))
+
+
 def _parsed(raw: DataFrame, bulk: Callable, strict: Callable, packed: pa.DataType, ddl: str) -> DataFrame:
-    line = F.col("line")
-    content = line.isNotNull() & line.rlike(r"\S") & ~line.startswith("#")
-    return (
-        raw.select("line_id", "line")
-        .where(content)
-        .select(F.col("line_id").cast("bigint"), line.cast("string"))
-        .mapInArrow(_loader(bulk, strict, packed), f"line_id bigint, reason string, row {ddl}")
-    )
+    return _content(raw).mapInArrow(_loader(bulk, strict, packed), f"line_id bigint, reason string, row {ddl}")
 
 
 def parse_pileup(raw: DataFrame) -> DataFrame:
@@ -318,7 +348,7 @@ def parse_copy_number(raw: DataFrame) -> DataFrame:
 def failures(pileup_raw: DataFrame, cn_profile_raw: DataFrame) -> DataFrame:
     """``raw_table, line_id, reason`` of every line of either table that does not load."""
     found = [
-        parsed.where("reason is not null").select(F.lit(name).alias("raw_table"), "line_id", "reason")
-        for name, parsed in (("pileup_raw", parse_pileup(pileup_raw)), ("cn_profile_raw", parse_copy_number(cn_profile_raw)))
+        _content(raw).mapInArrow(_loader(bulk, strict, None), "line_id bigint, reason string").select(F.lit(name).alias("raw_table"), "line_id", "reason")
+        for name, raw, bulk, strict in (("pileup_raw", pileup_raw, bulk_pileup, strict_pileup), ("cn_profile_raw", cn_profile_raw, bulk_cn, strict_cn))
     ]
     return found[0].unionByName(found[1])

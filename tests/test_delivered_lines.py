@@ -50,7 +50,7 @@ CN = [
 @pytest.mark.parametrize(("bulk", "strict", "packed", "cases"), [(dl.bulk_pileup, dl.strict_pileup, dl._PILEUP, PILEUP), (dl.bulk_cn, dl.strict_cn, dl._CN, CN)])
 def test_blocks_agree_with_strict_reading(bulk, strict, packed, cases):
     lines = [line for line, _ in cases for _ in range(9)]
-    reasons, read = dl.parse_block(lines, bulk, strict, packed)
+    reasons, read = dl.parse_block(pa.array(lines, pa.string()), bulk, strict, packed)
     assert reasons == [reason for _, reason in cases for _ in range(9)]
     assert read.to_pylist() == pa.array([strict(line)[1] for line in lines], packed).to_pylist()
 
@@ -60,7 +60,7 @@ def test_blocks_agree_with_strict_reading(bulk, strict, packed, cases):
 def test_any_fields(lines):
     lines = ["\t".join(x) for x in lines]
     for bulk, strict, packed in ((dl.bulk_pileup, dl.strict_pileup, dl._PILEUP), (dl.bulk_cn, dl.strict_cn, dl._CN)):
-        reasons, read = dl.parse_block(lines, bulk, strict, packed)
+        reasons, read = dl.parse_block(pa.array(lines, pa.string()), bulk, strict, packed)
         expected = [strict(line) for line in lines]
         assert reasons == [r for r, _ in expected]
         assert read.to_pylist() == pa.array([row for _, row in expected], packed).to_pylist()
