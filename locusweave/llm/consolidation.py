@@ -24,10 +24,10 @@ def _order(vertex: Column, seed: int) -> Column:
 
 def _contract(edges: DataFrame, scope: list[str], seed: int) -> DataFrame:
     """``scope, v, r, least``: the vertex each vertex hooks to. ``edges`` carry both directions."""
-    best = F.min(F.struct(_order(F.col("b"), seed).alias("h"), F.col("b").alias("v")))
-    hooked = edges.groupBy(*scope, F.col("a").alias("v")).agg(best.alias("n"))
-    own = F.struct(_order(F.col("v"), seed).alias("h"), F.col("v").alias("v"))
-    return hooked.select(*scope, "v", F.least(F.col("n"), own)["v"].alias("r"))
+    # Which of two vertices with the same hash is taken makes no difference to the groups.
+    hooked = edges.groupBy(*scope, F.col("a").alias("v")).agg(F.min_by("b", _order(F.col("b"), seed)).alias("n"))
+    nearer = _order(F.col("n"), seed) < _order(F.col("v"), seed)
+    return hooked.select(*scope, "v", F.when(nearer, F.col("n")).otherwise(F.col("v")).alias("r"))
 
 
 def connected_groups(links: DataFrame, scope: list[str], u: str, v: str) -> DataFrame:
@@ -53,12 +53,14 @@ def connected_groups(links: DataFrame, scope: list[str], u: str, v: str) -> Data
         release(edges)
         edges = contracted
     # Expand: a vertex belongs where the vertex it hooked to belongs.
-    final = mappings[-1]
+    final, held = mappings[-1], [edges]
     for level, hooks in enumerate(reversed(mappings[:-1]), 1):
         upper = final.select(*scope, F.col("r").alias("top"), F.col("v").alias("r"))
         final = hooks.join(upper, [*scope, "r"], "left").select(*scope, "v", F.coalesce("top", "r").alias("r"))
         if level % 4 == 0:
-            final = settle(final)
+            held.append(final := settle(final))
     final = settle(final)
+    for done in [*mappings, *held]:
+        release(done)
     least = final.groupBy(*scope, "r").agg(F.min("v").alias("group"))
     return final.join(least, [*scope, "r"]).select(*scope, F.col("v").alias("vertex"), "group")

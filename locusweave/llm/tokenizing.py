@@ -55,9 +55,6 @@ class ForcedBoundaryEncoder:
         right = np.arange(256)
         self.joined[blank, :] = True
         self.joined[:, (right == 0x27) | (right & 0xC0 == 0x80)] = True
-        # Of the certain cuts, those before white space and before wide characters are made: they
-        # leave words, which repeat, where all of them would leave splinters.
-        self.joined[:, (right > 0x20) & (right < 0xE2)] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -87,10 +84,9 @@ class ForcedBoundaryEncoder:
         found = map(self.codes.__getitem__, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)])
         return np.fromiter(found, np.int64, max(0, len(edges) - 1)), np.diff(np.searchsorted(cut, starts))
 
-    def encode(self, texts: pa.Array, lengths_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text and, unless ``lengths_only``, all ids in order. A null or
-        empty text has no ids."""
-        counts, out = [], []
+    def encode(self, texts: pa.Array, lengths_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of texts of about ``CUT_BYTES``, one after the other: where each text's ids end,
+        from 0 on, and, unless ``lengths_only``, all their ids. A null or empty text has no ids."""
         for offsets, data in _parts(texts):
             if len(self.codes) > KNOWN:
                 self._forget()
@@ -98,10 +94,8 @@ class ForcedBoundaryEncoder:
             begin, size, ids = self.codes.arrays()
             size = size[codes]
             ends = np.concatenate([[0], np.cumsum(size)])
-            counts.append(np.diff(ends[np.concatenate([[0], np.cumsum(pieces)])]))
-            if not lengths_only:
-                out.append(ids[np.repeat(begin[codes] - ends[:-1], size) + np.arange(ends[-1])])
-        return (np.concatenate(counts) if counts else np.zeros(0, np.int64)), (np.concatenate(out) if out else np.zeros(0, np.int32))
+            mine = ends[np.concatenate([[0], np.cumsum(pieces)])]
+            yield mine, ids[:0] if lengths_only else ids[np.repeat(begin[codes] - ends[:-1], size) + np.arange(ends[-1])]
 
 
 class _Fragments(dict):
@@ -157,9 +151,11 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            counts, ids = encoder.encode(batch.column(1))
-            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+            at = 0
+            for ends, ids in encoder.encode(batch.column(1)):
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lists)), lists], names=["doc_id", "ids"])
+                at += len(lists)
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -170,7 +166,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            counts, _ = encoder.encode(batch.column(1), lengths_only=True)
+            counts = [np.diff(ends) for ends, _ in encoder.encode(batch.column(1), lengths_only=True)]
+            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id bigint, n_tokens bigint")

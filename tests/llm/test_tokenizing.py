@@ -18,14 +18,14 @@ def encoder():
     return ForcedBoundaryEncoder(vocabulary_path())
 
 
-def split(counts, ids):
-    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+def encoded(encoder, texts):
+    return [ids[a:b].tolist() for ends, ids in encoder.encode(texts) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def test_random_texts_match_plain_encoding(encoder):
     rng = random.Random(11)
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25))) for _ in range(8000)]
-    assert split(*encoder.encode(pa.array(texts))) == [encoder.encoding.encode_ordinary(t) for t in texts]
+    assert encoded(encoder, pa.array(texts)) == [encoder.encoding.encode_ordinary(t) for t in texts]
 
 
 def test_no_cut_inside_a_token(encoder):
@@ -35,9 +35,17 @@ def test_no_cut_inside_a_token(encoder):
 
 def test_null_empty_and_sliced_arrays(encoder):
     whole = pa.array(["left out", None, "", " ", "a b", "x" * 70_000])
-    counts, ids = encoder.encode(whole.slice(1))
-    assert split(counts, ids) == [[], [], *(encoder.encoding.encode_ordinary(t) for t in (" ", "a b", "x" * 70_000))]
-    assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
+    assert encoded(encoder, whole.slice(1)) == [[], [], *(encoder.encoding.encode_ordinary(t) for t in (" ", "a b", "x" * 70_000))]
+    assert encoded(encoder, pa.array([], pa.string())) == []
+
+
+def test_long_runs_without_blanks_are_cut_and_match(encoder):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    code = "".join(rng.choice(["if(", "x", "=", "){", "return", ";", "}", "'s'", '"a"', "&&", "é", "[0]", "_", "this."]) for _ in range(3000))
+    texts = ["".join(rng.choice(letters) for _ in range(5000)), code, "data:" + "".join(rng.choice("\\x0123456789abcdef%") for _ in range(4000)), f"a {code[:39]} b {code[:80]}"]
+    assert encoded(encoder, pa.array(texts)) == [encoder.encoding.encode_ordinary(t) for t in texts]
+    assert all(len(encoder.cuts(np.frombuffer(t.encode(), np.uint8))) > len(t) / 60 for t in texts[:2])
 
 
 def test_documents_match_the_other_library_and_decode_back(spark, encoder):
