@@ -15,11 +15,15 @@ def together(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both sides with equal ``keys``, by a sort-merge join that spills and that adaptive
     execution splits where a key is hot. The keys' hash leads: rows are sorted by one number, and
     compared in full only where it is equal. Columns other than the keys must differ."""
-    other = two.withColumnsRenamed({k: f"__{k}" for k in keys})
-    same = F.xxhash64(*keys) == F.xxhash64(*(f"__{k}" for k in keys))
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        # Both sides are written alike, so that Spark sees where they are the same and shuffles once.
+        return df.select(*(F.col(c).alias(f"{mark}{c}" if c in keys else c) for c in df.columns))
+
+    same = F.xxhash64(*(f"__1{k}" for k in keys)) == F.xxhash64(*(f"__2{k}" for k in keys))
     for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    return one.join(other.hint("merge"), same).drop(*(f"__{k}" for k in keys))
+        same = same & (F.col(f"__1{k}") == F.col(f"__2{k}"))
+    met = side(one, "__1").join(side(two, "__2").hint("merge"), same)
+    return met.drop(*(f"__2{k}" for k in keys)).withColumnsRenamed({f"__1{k}": k for k in keys})
 
 
 def pair_candidates(resolved: DataFrame, read: list[str]) -> DataFrame:
