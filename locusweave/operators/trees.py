@@ -6,8 +6,9 @@ cannot improve any minimum are passed over, which changes no result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
-from itertools import product
+from itertools import combinations, product
 from math import log
 
 import numpy as np
@@ -35,15 +36,16 @@ def _set_partitions(n: int) -> list[list[list[int]]]:
     return out
 
 
-def _is_tree(parents: tuple[int, ...]) -> bool:
-    for node in range(1, len(parents) + 1):
-        seen, at = set(), node
-        while at:
-            if at in seen:
-                return False
-            seen.add(at)
-            at = parents[at - 1]
-    return True
+def _grown(last: tuple[int, ...], rest: frozenset[int]) -> Iterator[dict[int, int]]:
+    """Parents of the nodes ``rest`` in every way that they can hang below the level ``last``: some of
+    them make the next level, the others hang below that."""
+    if not rest:
+        yield {}
+    for many in range(1, len(rest) + 1):
+        for level in combinations(sorted(rest), many):
+            for below in _grown(level, rest.difference(level)):
+                for above in product(last, repeat=many):
+                    yield dict(zip(level, above, strict=True)) | below
 
 
 def _ordered(groups: list[list[int]], parents: tuple[int, ...]) -> tuple[tuple, tuple]:
@@ -66,10 +68,8 @@ def trees(n: int) -> list[tuple[tuple, tuple]]:
     """All trees over ``n`` sites in order: an empty root, and nodes that gain one or more sites."""
     found = set()
     for groups in _set_partitions(n):
-        k = len(groups)
-        for parents in product(range(k + 1), repeat=k):
-            if _is_tree(parents):
-                found.add(_ordered(groups, parents))
+        nodes = range(1, len(groups) + 1)
+        found.update(_ordered(groups, tuple(parents[n] for n in nodes)) for parents in _grown((0,), frozenset(nodes)))
     return sorted(found, key=lambda t: (len(t[0]), t))
 
 

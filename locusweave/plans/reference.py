@@ -93,26 +93,37 @@ def _eligible(spark, sf):
 
 def regular_windows(spark, sf):
     eligible = _eligible(spark, sf)
+    return _listed(_regular_windows(eligible))
+
+
+def _regular_windows(eligible: DataFrame) -> DataFrame:
     return windows.regular_windows(windows.site_components(eligible), eligible, WINDOW, STRIDE)
 
 
 def regular_window_sites(spark, sf):
     """The regular windows of full size, one row per site, named by their first site."""
-    full = regular_windows(spark, sf).where(F.size("sites") == WINDOW)
+    full = _regular_windows(_eligible(spark, sf)).where(F.size("sites") == WINDOW)
     return full.select("chrom", "component", F.col("sites")[0].alias("first"), F.posexplode("sites").alias("place", "pos"))
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    return df.withColumn("sites", F.array_join(F.col("sites").cast("array<string>"), ","))
+
+
 def all_windows(spark, sf):
-    return windows.all_windows(_eligible(spark, sf), WINDOW, STRIDE)
+    return _listed(windows.all_windows(_eligible(spark, sf), WINDOW, STRIDE))
 
 
 def pair_window_assignment(spark, sf):
     eligible = _eligible(spark, sf)
-    return windows.assign_pairs(eligible, windows.all_windows(eligible, WINDOW, STRIDE))
+    return _listed(windows.assign_pairs(eligible, settle(windows.all_windows(eligible, WINDOW, STRIDE))))
 
 
 def window_read_patterns(spark, sf):
-    return windows.read_patterns(windows.all_windows(_eligible(spark, sf), WINDOW, STRIDE), _resolved(spark, sf), READ)
+    """The patterns of reads over each window, as ``place:allele:error`` of the covered sites."""
+    found = windows.read_patterns(windows.all_windows(_eligible(spark, sf), WINDOW, STRIDE), _resolved(spark, sf), READ)
+    call = lambda c: F.format_string("%d:%d:%.6f", c["i"], c["allele"], c["err"])
+    return found.select("chrom", "window_id", F.array_join(F.transform("pattern", call), ",").alias("pattern"), "reads")
 
 
 def relationship_calls(spark, sf):
@@ -512,6 +523,48 @@ _CUTS = f"""SELECT owner, chrom, start AS first, nxt - 1 AS last FROM (
   SELECT owner, chrom, start, lead(start) OVER (PARTITION BY owner, chrom ORDER BY start) AS nxt FROM (
     SELECT owner, chrom, start FROM ({_CN}) UNION SELECT owner, chrom, "end" + 1 FROM ({_CN}))) WHERE nxt IS NOT NULL"""
 
+_REGULAR = f"""
+WITH RECURSIVE gate AS MATERIALIZED (SELECT chrom, left_pos AS u, right_pos AS v FROM ({_PAIRS}) WHERE {_GATE}), {_reach("SELECT chrom, u, v FROM gate")},
+m AS (SELECT chrom, component, pos, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY chrom, component) AS n FROM reach
+      WINDOW w AS (PARTITION BY chrom, component ORDER BY pos)),
+o AS (SELECT chrom, component, k AS first FROM m WHERE k <= n - {WINDOW} AND (k % {STRIDE} = 0 OR k = n - {WINDOW})),
+s AS (SELECT m.chrom, m.component, o.first, m.k - o.first AS place, m.pos
+      FROM o JOIN m ON m.chrom = o.chrom AND m.component = o.component AND m.k BETWEEN o.first AND o.first + {WINDOW - 1}),
+e AS (SELECT a.chrom, a.component, a.first, a.place AS i, b.place AS j FROM s a JOIN s b USING (chrom, component, first)
+      JOIN both_ways g ON g.chrom = a.chrom AND g.a = a.pos AND g.b = b.pos),
+seen AS (SELECT chrom, component, first, CAST(0 AS bigint) AS place FROM o
+         UNION SELECT e.chrom, e.component, e.first, CAST(e.j AS bigint) FROM seen JOIN e USING (chrom, component, first) WHERE e.i = seen.place),
+whole AS (SELECT chrom, component, first FROM seen GROUP BY ALL HAVING count(*) = {WINDOW}),
+regular AS MATERIALIZED (
+  SELECT chrom, component, list(pos ORDER BY pos) AS sites FROM m WHERE n < {WINDOW} GROUP BY chrom, component
+  UNION ALL SELECT chrom, component, list(pos ORDER BY pos) FROM s JOIN whole USING (chrom, component, first) GROUP BY chrom, component, first)"""
+
+
+def _wider(rows: str, sites: str) -> str:
+    """``rows`` (chrom, component, u, v and the columns ``sites``) with the nearest further site ``z``."""
+    away = ", ".join(f"abs(g.b - {c})" for c in sites.split(", "))
+    return f"""SELECT r.chrom, r.component, {", ".join(f"r.{c}" for c in sites.split(", "))}, arg_min(g.b, (least({away}), g.b)) AS z
+  FROM {rows} r JOIN both_ways g ON g.chrom = r.chrom AND g.a IN ({sites}) AND g.b NOT IN ({sites}) GROUP BY ALL"""
+
+
+# Each pair that no regular window holds grows a window; of these, ``scan`` keeps in the order of the
+# pairs those whose pair is in none that it kept before.
+_WINDOWS = f"""{_REGULAR},
+held AS (SELECT DISTINCT chrom, a, b FROM (SELECT chrom, a, unnest(sites) AS b FROM (SELECT chrom, sites, unnest(sites) AS a FROM regular)) WHERE a < b),
+missed AS (SELECT g.chrom, r.component, g.u, g.v FROM gate g JOIN reach r ON r.chrom = g.chrom AND r.pos = g.u
+           WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.chrom = g.chrom AND h.a = g.u AND h.b = g.v)),
+three AS (SELECT chrom, component, u, v, z AS w FROM ({_wider("missed", "u, v")})),
+grown AS MATERIALIZED (SELECT chrom, component, u, v, list_sort([u, v, w, z]) AS sites, row_number() OVER (PARTITION BY chrom, component ORDER BY u, v) AS k
+          FROM ({_wider("three", "u, v, w")})),
+hits AS MATERIALIZED (SELECT q.chrom, q.component, q.k, list(p.k) AS taken FROM grown q
+         JOIN grown p ON p.chrom = q.chrom AND p.component = q.component AND p.k >= q.k AND list_contains(q.sites, p.u) AND list_contains(q.sites, p.v) GROUP BY ALL),
+scan AS (SELECT chrom, component, list(k ORDER BY k) AS todo, CAST(0 AS bigint) AS kept FROM grown GROUP BY chrom, component
+         UNION ALL SELECT s.chrom, s.component, list_filter(s.todo, lambda x: NOT list_contains(h.taken, x)), s.todo[1]
+         FROM scan s JOIN hits h ON h.chrom = s.chrom AND h.component = s.component AND h.k = s.todo[1]),
+every AS (SELECT chrom, component, sites, row_number() OVER (PARTITION BY chrom ORDER BY sites) - 1 AS window_id FROM (
+  SELECT chrom, component, sites FROM regular
+  UNION SELECT g.chrom, g.component, g.sites FROM grown g JOIN scan s ON s.chrom = g.chrom AND s.component = g.component AND s.kept = g.k))"""
+
 ORACLES = {
     "obs_resolved": f"SELECT chrom, bam, read_id, pos, allele, round(error, 6) AS error FROM ({_RESOLVED})",
     "obs_stats": f"""
@@ -652,18 +705,21 @@ FROM ({_EDGES})""",
     "vote_table": f"""
 SELECT chrom AS CHROM, read_id AS READ_NAME, hp1 AS HP1_GERMLINE_VOTES, hp2 AS HP2_GERMLINE_VOTES, hp1 + hp2 AS TOTAL_INFORMATIVE_GERMLINE_MUTATIONS,
        CASE WHEN hp1 + hp2 > 0 THEN round(CAST(least(hp1, hp2) AS double) / (hp1 + hp2), 6) END AS MINORITY_FRACTION, assignment AS ASSIGNMENT FROM ({_VOTES})""",
-    "regular_window_sites": f"""
-WITH RECURSIVE gate AS (SELECT chrom, left_pos AS u, right_pos AS v FROM ({_PAIRS}) WHERE {_GATE}), {_reach("SELECT chrom, u, v FROM gate")},
-m AS (SELECT chrom, component, pos, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY chrom, component) AS n FROM reach
-      WINDOW w AS (PARTITION BY chrom, component ORDER BY pos)),
-o AS (SELECT chrom, component, k AS first FROM m WHERE k <= n - {WINDOW} AND (k % {STRIDE} = 0 OR k = n - {WINDOW})),
-s AS (SELECT m.chrom, m.component, o.first, m.k - o.first AS place, m.pos
-      FROM o JOIN m ON m.chrom = o.chrom AND m.component = o.component AND m.k BETWEEN o.first AND o.first + {WINDOW - 1}),
-e AS (SELECT a.chrom, a.component, a.first, a.place AS i, b.place AS j FROM s a JOIN s b USING (chrom, component, first)
-      JOIN both_ways g ON g.chrom = a.chrom AND g.a = a.pos AND g.b = b.pos),
-seen AS (SELECT chrom, component, first, CAST(0 AS bigint) AS place FROM o
-         UNION SELECT e.chrom, e.component, e.first, CAST(e.j AS bigint) FROM seen JOIN e USING (chrom, component, first) WHERE e.i = seen.place),
-whole AS (SELECT chrom, component, first FROM seen GROUP BY ALL HAVING count(*) = {WINDOW})
+    "regular_window_sites": f"""{_REGULAR}
 SELECT s.chrom, s.component, min(s.pos) OVER (PARTITION BY s.chrom, s.component, s.first) AS first, CAST(s.place AS int) AS place, s.pos
 FROM s JOIN whole ON whole.chrom = s.chrom AND whole.component = s.component AND whole.first = s.first""",
+    "regular_windows": f"{_REGULAR} SELECT chrom, component, array_to_string(sites, ',') AS sites FROM regular",
+    "all_windows": f"{_WINDOWS} SELECT chrom, component, window_id, array_to_string(sites, ',') AS sites FROM every",
+    "pair_window_assignment": f"""{_WINDOWS},
+x AS (SELECT w.*, CAST(i AS int) AS i, CAST(j AS int) AS j, sites[i + 1] AS left_pos, sites[j + 1] AS right_pos, (len(sites) - 1) / 2.0 AS mid
+      FROM every w, range({WINDOW}) a(i), range({WINDOW}) b(j) WHERE i < j AND j < len(sites))
+SELECT x.chrom, left_pos, right_pos, window_id, array_to_string(sites, ',') AS sites, i, j, count(*) OVER (PARTITION BY x.chrom, left_pos, right_pos) AS n_windows
+FROM x JOIN gate ON gate.chrom = x.chrom AND gate.u = left_pos AND gate.v = right_pos
+QUALIFY row_number() OVER (PARTITION BY x.chrom, left_pos, right_pos
+  ORDER BY len(sites) DESC, abs(i - mid) + abs(j - mid), greatest(abs(i - mid), abs(j - mid)), sites[-1] - sites[1], x.sites) = 1""",
+    "window_read_patterns": f"""{_WINDOWS},
+x AS (SELECT chrom, window_id, unnest(sites) AS pos, generate_subscripts(sites, 1) - 1 AS i FROM every),
+r AS (SELECT x.chrom, x.window_id, string_agg(printf('%d:%d:%.6f', i, allele, error), ',' ORDER BY i) AS pattern
+      FROM x JOIN ({_RESOLVED}) o ON o.chrom = x.chrom AND o.pos = x.pos GROUP BY x.chrom, x.window_id, o.bam, o.read_id)
+SELECT chrom, window_id, pattern, count(*) AS reads FROM r GROUP BY chrom, window_id, pattern""",
 }
