@@ -2,10 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusweave.session import settle
+from locusweave.session import release, settle
+
+CYCLE = "timing edges form a cycle"
+
+
+def _name(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def _stretches(arcs: DataFrame) -> DataFrame:
+    """``chrom, source, target, via``: arcs between clusters where paths begin, end, meet or part, and
+    the clusters in between, of which each has one arc in and one out.
+
+    Those find the head of their stretch by pointer jumping, whose rounds grow with the logarithm of
+    the longest stretch. Clusters that never find one lie on a ring without a way in: an error.
+    """
+    ends = F.array(F.struct(F.col("source").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("target").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    degree = arcs.select("chrom", F.explode(ends).alias("e")).groupBy("chrom", "e.x").agg(F.sum("e.out").alias("out"), F.sum("e.into").alias("into"))
+    inner = settle(degree.where("out = 1 and into = 1").select("chrom", "x"))
+    side = lambda end, flag: inner.select("chrom", F.col("x").alias(end), F.lit(True).alias(flag))
+    marked = settle(arcs.join(side("source", "from_inner"), ["chrom", "source"], "left").join(side("target", "to_inner"), ["chrom", "target"], "left").na.fill(False, ["from_inner", "to_inner"]))
+    direct = marked.where("not from_inner and not to_inner").select("chrom", "source", "target", F.array().cast("array<string>").alias("via"))
+    at = settle(
+        marked.where("to_inner").select(
+            "chrom", F.col("target").alias("x"), F.when(F.col("from_inner"), F.col("source")).otherwise(F.col("target")).alias("at"), F.col("from_inner").cast("bigint").alias("steps")
+        )
+    )
+    heads = settle(marked.where("to_inner and not from_inner").select("chrom", F.col("target").alias("at")))
+    n, reach = at.count(), 1
+    while not at.join(heads, ["chrom", "at"], "left_anti").isEmpty():
+        if reach > n:
+            raise ValueError(CYCLE)
+        ahead = at.select("chrom", F.col("x").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"))
+        before, at = at, settle(at.join(ahead, ["chrom", "at"]).select("chrom", "x", F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
+        release(before)
+        reach *= 2
+    members = F.transform(F.sort_array(F.collect_list(F.struct("steps", _name("x").alias("x")))), lambda m: m["x"])
+    runs = at.groupBy("chrom", "at").agg(members.alias("via"), F.max_by("x", "steps").alias("tail"))
+    into = marked.where("to_inner and not from_inner").select("chrom", "source", F.col("target").alias("at"))
+    onward = marked.where("from_inner and not to_inner").select("chrom", F.col("source").alias("tail"), "target")
+    return direct.unionByName(runs.join(into, ["chrom", "at"]).join(onward, ["chrom", "tail"]).select("chrom", "source", "target", "via"))
+
+
+def _numbered(paths: DataFrame) -> DataFrame:
+    """Adds ``chain_index``, from 0 per chromosome in the order of the paths. They are sorted in
+    ranges, so that the paths from one root may lie in many tasks, and numbered by what comes before."""
+    placed = settle(paths.orderBy("chrom", "path").withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    counts = placed.groupBy("chrom", part).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("chrom").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("chrom", "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    index = F.col("__at") - F.col("__first") + F.col("__start")
+    return placed.withColumn("__part", part).join(starts, ["chrom", "__part"]).select("chrom", index.alias("chain_index"), "path")
 
 
 def timing_chains(edges: DataFrame) -> DataFrame:
@@ -13,32 +65,30 @@ def timing_chains(edges: DataFrame) -> DataFrame:
     leaves, with three clusters or more; chains are numbered from 0 per chromosome in the order of
     their cluster names as strings.
 
-    Paths grow by one edge per round, all at once; those that cannot grow are set aside. The number
-    of paths is part of the result and can be large. A cycle raises an error.
+    Stretches without a branch are taken as one arc, so that long chains take few rounds; paths then
+    grow by one arc per round, all at once, and those that cannot grow are set aside. The number of
+    paths is part of the result and can be large. A cycle anywhere raises an error, also one that no
+    path leads to.
     """
-    arcs = edges.where("relation = 'timing'").select("chrom", "source", "target").distinct()
+    timing = settle(edges.where("relation = 'timing'").select("chrom", "source", "target").distinct())
+    if timing.isEmpty():
+        return timing.select("chrom", F.lit(0).cast("bigint").alias("chain_index"), F.array().cast("array<string>").alias("path"))
+    arcs = settle(_stretches(timing))
     entered = arcs.select("chrom", F.col("target").alias("source")).distinct()
     left = arcs.select("chrom", F.col("source").alias("end")).distinct()
     roots = arcs.select("chrom", "source").distinct().join(entered, ["chrom", "source"], "left_anti")
-    name = lambda c: F.col(c).cast("string")
-    if not arcs.isEmpty() and roots.isEmpty():
-        raise ValueError("timing edges form a cycle")
-    open_paths = settle(roots.select("chrom", F.col("source").alias("end"), F.array(name("source")).alias("path")))
-    done = None
-    # A path that met a cycle would come back to one of its clusters, so this ends.
-    while not open_paths.isEmpty():
-        grown = open_paths.join(arcs.withColumnRenamed("source", "end"), ["chrom", "end"])
-        if not grown.where(F.array_contains("path", name("target"))).isEmpty():
-            raise ValueError("timing edges form a cycle")
-        open_paths = settle(grown.select("chrom", F.col("target").alias("end"), F.concat("path", F.array(name("target"))).alias("path")))
-        ended = open_paths.join(left, ["chrom", "end"], "left_anti").where(F.size("path") >= 3)
-        done = ended if done is None else done.unionByName(ended)
-    if done is None:
-        done = open_paths
-    # Chains are numbered from their first cluster on, so each root's chains are ordered on their own.
-    done = done.withColumn("root", F.col("path")[0])
-    counts = done.groupBy("chrom", "root").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("chrom").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("chrom", "root", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("chrom", "root").orderBy("path"))
-    return done.withColumn("r", inside).join(starts, ["chrom", "root"]).select("chrom", (F.col("r") - 1 + F.col("start")).alias("chain_index"), "path")
+    growing = settle(roots.select("chrom", F.col("source").alias("end"), F.array(_name("source")).alias("path")))
+    done = growing.where("false").select("chrom", "path")
+    while not growing.isEmpty():
+        grown = growing.join(arcs.withColumnRenamed("source", "end"), ["chrom", "end"])
+        longer = F.concat("path", "via", F.array(_name("target")))
+        growing = settle(grown.select("chrom", F.col("target").alias("end"), longer.alias("path"), F.array_contains("path", _name("target")).alias("again")))
+        # A path that met a cycle comes back to one of its clusters, so this ends.
+        if not growing.where("again").isEmpty():
+            raise ValueError(CYCLE)
+        done = done.unionByName(growing.join(left, ["chrom", "end"], "left_anti").select("chrom", "path"))
+    # Without a cycle every cluster lies on a path from a root.
+    seen = done.select("chrom", F.explode("path").alias("source")).distinct()
+    if not arcs.select("chrom", _name("source").alias("source")).distinct().join(seen, ["chrom", "source"], "left_anti").isEmpty():
+        raise ValueError(CYCLE)
+    return _numbered(done.where(F.size("path") >= 3))

@@ -115,7 +115,9 @@ def test_chains(spark):
     data = [("1", 1, 2, T), ("1", 2, 3, T), ("1", 2, 30, T), ("1", 5, 3, T), ("1", 9, 8, D), ("2", 4, 6, T), ("2", 6, 7, T), ("2", 4, 7, T)]
     assert rows(chains.timing_chains(spark.createDataFrame(data, schema))) == [("1", 0, ["1", "2", "3"]), ("1", 1, ["1", "2", "30"]), ("2", 0, ["4", "6", "7"])]
     assert chains.timing_chains(spark.createDataFrame([], schema)).count() == 0
-    for cycle in ([("1", 1, 2, T), ("1", 2, 1, T)], [("1", 0, 1, T), ("1", 1, 2, T), ("1", 2, 1, T)]):
+    ring = [("1", 8, 9, T), ("1", 9, 8, T)]
+    crossed = [("1", 8, 9, T), ("1", 9, 8, T), ("1", 9, 7, T), ("1", 7, 8, T)]
+    for cycle in (ring, [("1", 0, 1, T), ("1", 1, 2, T), ("1", 2, 1, T)], [*data, *ring], [*data, *crossed]):
         with pytest.raises(ValueError, match="cycle"):
             chains.timing_chains(spark.createDataFrame(cycle, schema))
 
@@ -156,7 +158,25 @@ def test_rankings_of_the_simplified_graph(spark, tmp_path):
     assert placed == [("1", p, 80.0 * i) for i, p in enumerate((10, 20, 30, 40, 50, 60))] + [("2", 5, 700.0), ("2", 6, 780.0)]
 
 
-def test_a_chain_of_any_length(spark, monkeypatch):
-    monkeypatch.setattr(chains, "MOST_STEPS", 3, raising=False)  # the limit there once was
-    data = [("1", k, k + 1, T) for k in range(1, 6)]
-    assert rows(chains.timing_chains(spark.createDataFrame(data, "chrom string, source long, target long, relation string"))) == [("1", 0, ["1", "2", "3", "4", "5", "6"])]
+def test_a_chain_of_any_length(spark):
+    n = 10_500
+    data = [("1", k, k + 1, T) for k in range(n)] + [("1", 3, 20_000, T), ("1", 20_000, 20_001, T)]
+    got = chains.timing_chains(spark.createDataFrame(data, "chrom string, source long, target long, relation string")).collect()
+    assert [(r.chain_index, len(r.path), r.path[-1]) for r in sorted(got, key=lambda r: r.chain_index)] == [(0, 6, "20001"), (1, n + 1, str(n))]
+    assert next(r.path for r in got if r.chain_index == 1) == [str(k) for k in range(n + 1)]
+
+
+def test_chains_against_plain_walks(spark):
+    rng = random.Random(6)
+    arcs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(55)})
+    below = {}
+    for a, b in arcs:
+        below.setdefault(a, []).append(b)
+    paths, todo = [], [[a] for a in below if a not in {b for _, b in arcs}]
+    while todo:
+        path = todo.pop()
+        todo += [[*path, b] for b in below.get(path[-1], [])]
+        if path[-1] not in below and len(path) > 2:
+            paths.append([str(x) for x in path])
+    got = chains.timing_chains(spark.createDataFrame([("2", a, b, T) for a, b in arcs], "chrom string, source long, target long, relation string"))
+    assert [r.path for r in got.orderBy("chain_index").collect()] == sorted(paths)
