@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from locusweave.operators.components import components
 
 SCHEMA = "chrom string, component bigint, accept_order int, u bigint, v bigint, relation string, status string, reason string, cluster_u bigint, cluster_v bigint"
+#: Columns that edges carry along if they have them.
+CARRIED = ("hvaf_u", "hvaf_v", "hp_reads_u", "hp_reads_v", "best_score", "margin")
 BEFORE, AFTER, APART = "before", "after", "apart"
 _FLIP = {BEFORE: AFTER, AFTER: BEFORE, APART: APART}
 
@@ -181,12 +183,15 @@ def clean_edges(edges: DataFrame, chrom: Column, relations: tuple[str, ...] = ("
     lower position first for undirected relations (two-sided columns exchanged along), the newest
     of repeated rows. Rows without an end, a chromosome or one of ``relations`` are left out; missing
     counts are 0, a missing reliability is 0, and haplotypes other than HP1, HP2, MIXED and UNKNOWN
-    are null."""
+    are null. The columns of :data:`CARRIED` are null where ``edges`` lack them."""
     relation = F.lower(F.regexp_replace("relation", r"^\s+|\s+$", ""))
     turn = (F.col("u") > F.col("v")) & (relation != "timing")
     two = lambda a, b, name: (F.when(turn, F.col(b)).otherwise(F.col(a))).alias(name)
     hap = lambda c: F.when(F.upper(F.trim(c)).isin("HP1", "HP2", "MIXED", "UNKNOWN"), F.upper(F.trim(c)))
     count = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))
+    own = {c: F.col(c) if c in edges.columns else F.lit(None) for c in CARRIED}
+    kinds = {"hvaf_u": "double", "hvaf_v": "double", "hp_reads_u": "string", "hp_reads_v": "string", "best_score": "double", "margin": "double"}
+    turned = {c: own[c[:-1] + ("v" if c[-1] == "u" else "u")] if c[-2] == "_" else own[c] for c in CARRIED}
     put = edges.select(
         chrom.alias("chrom"),
         two("u", "v", "u"),
@@ -201,10 +206,11 @@ def clean_edges(edges: DataFrame, chrom: Column, relations: tuple[str, ...] = ("
         two("vaf_v", "vaf_u", "vaf_v"),
         hap(F.when(turn, F.col("hap_v")).otherwise(F.col("hap_u"))).alias("hap_u"),
         hap(F.when(turn, F.col("hap_u")).otherwise(F.col("hap_v"))).alias("hap_v"),
+        *(F.when(turn, turned[c]).otherwise(own[c]).cast(kinds[c]).alias(c) for c in CARRIED),
         "loaded_at",
     )
     known = put.where(F.col("relation").isin(*relations)).dropna(subset=["chrom", "u", "v"])
-    rest = ["reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v", "hap_u", "hap_v"]
+    rest = ["reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v", "hap_u", "hap_v", *CARRIED]
     newest = known.groupBy("chrom", "u", "v", "relation").agg(F.max(F.struct("loaded_at", *rest)).alias("s"))
     rank = F.when(F.col("relation") == "cooccurring", 0).when(F.col("relation") == "divergent", 1).when(F.col("u") < F.col("v"), 2).otherwise(3)
     return newest.select("chrom", "u", "v", "relation", *(F.col(f"s.{c}").alias(c) for c in rest)).withColumn("relation_rank", rank)

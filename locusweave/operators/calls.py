@@ -57,6 +57,7 @@ def relationship_calls(results: DataFrame) -> DataFrame:
 def proposals(calls: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Calls that pass the haplotype gate (only with ``labels``) and the read-support gate, as graph
     edges: timing edges point from the earlier to the later site, with counts to match."""
+    calls = calls if "best_score" in calls.columns else calls.withColumn("best_score", F.lit(None).cast("double"))
     gated = same_haplotype_gate(calls, labels) if labels is not None else calls
     kept = gated.where(supports(F.col("relation")))
     swap = F.col("relation") == "right_before_left"
@@ -67,6 +68,8 @@ def proposals(calls: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         F.when(swap, F.col("left_pos")).otherwise(F.col("right_pos")).alias("v"),
         F.when(F.col("relation").isin("left_before_right", "right_before_left"), "timing").otherwise(F.col("relation")).alias("relation"),
         "reliability",
+        (-F.col("best_score")).alias("best_score"),
+        F.col("reliability").alias("margin"),
         "alt_alt",
         F.when(swap, F.col("ref_alt")).otherwise(F.col("alt_ref")).alias("alt_ref"),
         F.when(swap, F.col("alt_ref")).otherwise(F.col("ref_alt")).alias("ref_alt"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusweave.operators.axis import ranked
 from locusweave.operators.components import components
 
 RELATIONS = ("cooccurring", "timing", "divergent")
@@ -57,7 +58,7 @@ def haplotype_counters(edges: DataFrame) -> DataFrame:
 
 
 def connectivity(sites: DataFrame, proposed: DataFrame, decided: DataFrame) -> DataFrame:
-    """Per chromosome: sites, those in any relation, in the graph, with a timing edge, orphaned
+    """Per chromosome, and for the genome (null chromosome): sites, those in any relation, in the graph, with a timing edge, orphaned
     (all edges rejected), without any relation, and accepted and timing edges."""
     ends = lambda df: df.select("chrom", F.explode(F.array("u", "v")).alias("pos")).distinct()
     accepted = decided.where("status = 'accepted'")
@@ -75,44 +76,50 @@ def connectivity(sites: DataFrame, proposed: DataFrame, decided: DataFrame) -> D
     for df, name in parts:
         one = df.select("chrom", *((F.lit(1) if n == name else F.lit(0)).cast("bigint").alias(n) for n in names))
         stacked = one if stacked is None else stacked.unionByName(one)
-    summed = stacked.groupBy("chrom").agg(*(F.sum(n).alias(n) for n in names))
+    rolled = stacked.where("chrom is not null").rollup("chrom").agg(*(F.sum(n).alias(n) for n in names), F.grouping("chrom").alias("__all"))
+    summed = rolled.where("chrom is not null or __all = 1").drop("__all")
     return summed.withColumn("orphaned", F.col("in_relations") - F.col("in_graph")).withColumn("singleton", F.col("total_sites") - F.col("in_relations"))
 
 
 def site_annotations(edges: DataFrame) -> DataFrame:
-    """``chrom, pos, vaf, haplotype`` of each end of an edge: the VAF of the smallest partner that
-    has one, and its haplotype, MIXED if edges disagree, UNKNOWN if none says."""
-    ends = edges.select(
-        "chrom",
-        F.explode(
-            F.array(
-                F.struct(F.col("u").alias("pos"), F.col("v").alias("other"), F.col("vaf_u").alias("vaf"), F.col("hap_u").alias("hap")),
-                F.struct(F.col("v").alias("pos"), F.col("u").alias("other"), F.col("vaf_v").alias("vaf"), F.col("hap_v").alias("hap")),
-            )
-        ).alias("e"),
-    ).select("chrom", "e.*")
-    known = F.when(F.col("vaf").isNotNull() & ~F.isnan("vaf"), F.struct("other", "vaf"))
-    label = F.when(F.min("hap") == F.max("hap"), F.min("hap")).when(F.min("hap").isNotNull(), "MIXED").otherwise("UNKNOWN")
-    return ends.groupBy("chrom", "pos").agg(F.min(known)["vaf"].alias("vaf"), label.alias("haplotype"))
+    """``chrom, pos, vaf, hvaf, haplotype, hp_reads`` of each end of an edge: the first VAF and the
+    first haplotype VAF that an edge gives, in the order of acceptance or, of edges without one, of
+    the partner; its haplotype and haplotype reads, MIXED if edges disagree, UNKNOWN if none says."""
+    has = lambda c: F.col(c) if c in edges.columns else F.lit(None).cast("string" if c[0:2] == "hp" else "double")
+
+    def end(own: str, other: str):
+        order = F.col("accept_order").cast("bigint") if "accept_order" in edges.columns else F.col(other)
+        return F.struct(
+            F.col(own).alias("pos"), order.alias("order"), has(f"vaf_{own}").alias("vaf"), has(f"hvaf_{own}").alias("hvaf"), F.col(f"hap_{own}").alias("hap"), has(f"hp_reads_{own}").alias("reads")
+        )
+
+    ends = edges.select("chrom", F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e")).select("chrom", "e.*")
+    first = lambda c: F.min(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.struct("order", c)))[c].alias(c)
+    said = lambda c, name: F.when(F.min(c) == F.max(c), F.min(c)).when(F.min(c).isNotNull(), "MIXED").otherwise("UNKNOWN").alias(name)
+    return ends.groupBy("chrom", "pos").agg(first("vaf"), first("hvaf"), said("hap", "haplotype"), said("reads", "hp_reads"))
 
 
 def exported_annotations(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     """:func:`site_annotations` of the accepted edges, and for sites that only rejected edges touch,
-    of those."""
-    known = site_annotations(accepted)
-    return known.unionByName(site_annotations(rejected).join(known, ["chrom", "pos"], "left_anti"))
+    of those; a haplotype VAF that accepted edges do not give comes from rejected ones."""
+    known, other = site_annotations(accepted), site_annotations(rejected)
+    late = other.select("chrom", "pos", F.col("hvaf").alias("__late"))
+    filled = known.join(late, ["chrom", "pos"], "left").withColumn("hvaf", F.coalesce("hvaf", "__late")).drop("__late")
+    return filled.unionByName(other.join(known, ["chrom", "pos"], "left_anti"))
 
 
 def condensed_nodes(clusters: DataFrame, annotations: DataFrame) -> DataFrame:
     """One row per cluster: size, lower median and first position, median VAF, majority haplotype
     (the alphabetically first among equals) and whether haplotypes mix.
 
-    ``clusters`` has ``chrom, pos, cluster``. Medians are exact, from counts per value."""
-    members = clusters.join(annotations, ["chrom", "pos"], "left").withColumn("haplotype", F.coalesce("haplotype", F.lit("UNKNOWN")))
+    ``clusters`` has ``chrom, pos, cluster``. Medians are exact: of positions by their rank, of VAFs
+    from counts per value, which are shares of small numbers of reads and so few."""
+    placed = ranked(clusters.select("chrom", "cluster", "pos"), ["chrom", "cluster"], "pos")
+    members = placed.join(annotations, ["chrom", "pos"], "left").withColumn("haplotype", F.coalesce("haplotype", F.lit("UNKNOWN")))
     hp = [F.count_if(F.col("haplotype") == h).alias(f"n_{h.lower()}") for h in ("HP1", "HP2", "MIXED", "UNKNOWN")]
     rows = members.groupBy("chrom", "cluster").agg(
         F.count(F.lit(1)).alias("cluster_size"),
-        F.expr("percentile_disc(0.5) within group (order by pos)").cast("bigint").alias("position"),
+        F.min(F.when(F.col("rank") == F.floor((F.col("size") + 1) / 2), F.col("pos"))).alias("position"),
         F.min("pos").alias("position_min"),
         F.expr("percentile_cont(0.5) within group (order by vaf)").alias("vaf"),
         *hp,
@@ -151,6 +158,23 @@ def condensed_edges(accepted: DataFrame) -> DataFrame:
     )
 
 
+def support_details(accepted: DataFrame) -> DataFrame:
+    """The accepted edges behind each condensed edge, one row each, under the condensed edge's
+    ``source, target, relation``."""
+    between = accepted.where("relation <> 'cooccurring' and cluster_u <> cluster_v")
+    turn = (F.col("relation") == "divergent") & (F.col("cluster_u") > F.col("cluster_v"))
+    return between.select(
+        "chrom",
+        F.when(turn, F.col("cluster_v")).otherwise(F.col("cluster_u")).alias("source"),
+        F.when(turn, F.col("cluster_u")).otherwise(F.col("cluster_v")).alias("target"),
+        "relation",
+        "u",
+        "v",
+        F.concat_ws("/", "alt_alt", "alt_ref", "ref_alt", "ref_ref").alias("read_counts"),
+        "reliability",
+    )
+
+
 def span_summary(stats: DataFrame, contigs: DataFrame) -> DataFrame:
     """Per contig: components, mean and median span, mean sites, and the ten largest spans and
     sizes; contigs without components have zeros and empty lists."""

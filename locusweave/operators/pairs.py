@@ -81,14 +81,18 @@ def supports(relation: Column) -> Column:
     )
 
 
+def same_haplotype(left: str, right: str) -> Column:
+    """Whether both labels are the same of HP1 and HP2."""
+    return F.coalesce((F.col(left) == F.col(right)) & F.col(left).isin("HP1", "HP2"), F.lit(False))
+
+
 def same_haplotype_gate(calls: DataFrame, labels: DataFrame) -> DataFrame:
     """Drops divergent calls unless both sites carry the same of HP1 and HP2. ``labels`` has
     ``chrom, pos, label``; a site without a row has no label."""
     left = labels.select("chrom", F.col("pos").alias("left_pos"), F.col("label").alias("left_label"))
     right = labels.select("chrom", F.col("pos").alias("right_pos"), F.col("label").alias("right_label"))
     both = calls.join(left, ["chrom", "left_pos"], "left").join(right, ["chrom", "right_pos"], "left")
-    agree = (F.col("left_label") == F.col("right_label")) & F.col("left_label").isin("HP1", "HP2")
-    return both.where((F.col("relation") != "divergent") | F.coalesce(agree, F.lit(False)))
+    return both.where((F.col("relation") != "divergent") | same_haplotype("left_label", "right_label"))
 
 
 def margin(bics: Column) -> Column:

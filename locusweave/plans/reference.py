@@ -335,11 +335,9 @@ def vote_table(spark, sf):
 
 
 def relation_tally(spark, sf):
-    kept = edges_clean(spark, sf)
-    aa, ar, ra = (F.col(c) >= 1 for c in ("alt_alt", "alt_ref", "ref_alt"))
     # A timing edge's counts follow its direction, so that its first site is the left one.
-    shown = F.when(F.col("relation") == "cooccurring", aa).when(F.col("relation") == "timing", aa & ar).otherwise(ar & ra)
-    return tallies.relation_tally(kept, shown, (F.col("hap_u") == F.col("hap_v")) & F.col("hap_u").isin("HP1", "HP2"))
+    as_called = F.when(F.col("relation") == "timing", "left_before_right").otherwise(F.col("relation"))
+    return tallies.relation_tally(edges_clean(spark, sf), pairs.supports(as_called), pairs.same_haplotype("hap_u", "hap_v"))
 
 
 def component_sizes(spark, sf):
@@ -349,8 +347,7 @@ def component_sizes(spark, sf):
 def relation_lines_read(spark, sf):
     """The edges written as lines of relation files and read again."""
     lines = edges_clean(spark, sf).select(relation_lines.line_of_edge().alias("line"), relation_lines.relation_of_edge().alias("file"))
-    kept = ("chrom", "u", "v", "relation", "reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v")
-    return relation_lines.edges_of_lines(lines, "line", F.col("file")).select(*kept)
+    return relation_lines.edges_of_lines(lines, "line", F.col("file"))
 
 
 QUERIES = {
@@ -453,7 +450,18 @@ def _hap(a: str, b: str) -> str:
     return f"CASE WHEN {given} IN ('HP1', 'HP2', 'MIXED', 'UNKNOWN') THEN {given} END"
 
 
-_EDGE_FIELDS = ("reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v", "hap_u", "hap_v")
+def _known(column: str, otherwise: str) -> str:
+    return f"coalesce(CASE WHEN NOT isnan({column}) THEN {column} END, {otherwise}) AS {column}"
+
+
+def _said(column: str) -> str:
+    return f"CASE WHEN upper({column}) NOT IN ('', 'NA', 'NAN', 'NULL', '.') THEN {column} END AS {column}"
+
+
+_EDGE_FIELDS = (
+    "reliability", "alt_alt", "alt_ref", "ref_alt", "ref_ref", "vaf_u", "vaf_v", "hap_u", "hap_v",
+    "hvaf_u", "hvaf_v", "hp_reads_u", "hp_reads_v", "best_score", "margin",
+)
 _EDGES = f"""
 SELECT chrom, u, v, relation, {", ".join(f"s.{c} AS {c}" for c in _EDGE_FIELDS)},
        CAST(CASE WHEN relation = 'cooccurring' THEN 0 WHEN relation = 'divergent' THEN 1 WHEN u < v THEN 2 ELSE 3 END AS int) AS relation_rank FROM (
@@ -462,7 +470,9 @@ SELECT chrom, u, v, relation, {", ".join(f"s.{c} AS {c}" for c in _EDGE_FIELDS)}
            coalesce(CASE WHEN NOT isnan(reliability) THEN reliability END, 0.0) AS reliability,
            coalesce(CAST(alt_alt AS bigint), 0) AS alt_alt, coalesce(CAST({_two("alt_ref", "ref_alt")} AS bigint), 0) AS alt_ref,
            coalesce(CAST({_two("ref_alt", "alt_ref")} AS bigint), 0) AS ref_alt, coalesce(CAST(ref_ref AS bigint), 0) AS ref_ref,
-           {_two("vaf_u", "vaf_v")} AS vaf_u, {_two("vaf_v", "vaf_u")} AS vaf_v, {_hap("hap_u", "hap_v")} AS hap_u, {_hap("hap_v", "hap_u")} AS hap_v, loaded_at
+           {_two("vaf_u", "vaf_v")} AS vaf_u, {_two("vaf_v", "vaf_u")} AS vaf_v, {_hap("hap_u", "hap_v")} AS hap_u, {_hap("hap_v", "hap_u")} AS hap_v,
+           {_two("hvaf_u", "hvaf_v")} AS hvaf_u, {_two("hvaf_v", "hvaf_u")} AS hvaf_v, {_two("hp_reads_u", "hp_reads_v")} AS hp_reads_u, {_two("hp_reads_v", "hp_reads_u")} AS hp_reads_v,
+           best_score, margin, loaded_at
     FROM edges)
   WHERE relation IN ('cooccurring', 'timing', 'divergent') AND chrom IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL
   GROUP BY chrom, u, v, relation)"""
@@ -698,8 +708,8 @@ FROM x GROUP BY chrom, relation""",
 WITH RECURSIVE {_reach(f'SELECT chrom, left_pos AS u, right_pos AS v FROM ({_CANDIDATES}) WHERE {_GATE}')}
 SELECT chrom, sites, count(*) AS groups FROM (SELECT chrom, component, count(*) AS sites FROM reach GROUP BY chrom, component) GROUP BY chrom, sites""",
     "relation_lines_read": f"""
-SELECT chrom, u, v, relation, reliability, alt_alt, alt_ref, ref_alt, ref_ref,
-       coalesce(CASE WHEN NOT isnan(vaf_u) THEN vaf_u END, 0.0) AS vaf_u, coalesce(CASE WHEN NOT isnan(vaf_v) THEN vaf_v END, 0.0) AS vaf_v
+SELECT chrom, u, v, relation, reliability, {_known("best_score", "0.0")}, {_known("margin", "0.0")}, alt_alt, alt_ref, ref_alt, ref_ref,
+       {_known("vaf_u", "0.0")}, {_known("vaf_v", "0.0")}, {_known("hvaf_u", "NULL")}, {_known("hvaf_v", "NULL")}, hap_u, hap_v, {_said("hp_reads_u")}, {_said("hp_reads_v")}
 FROM ({_EDGES})""",
     "site_table": f"SELECT {', '.join(f'{c} AS {n}' for n, c in reports.SITE_COLUMNS.items())} FROM ({_SUMMARY})",
     "vote_table": f"""

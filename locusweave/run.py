@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.config import PhaseConfig, check_regions
+from locusweave.config import PhaseConfig, check_chromosomes, check_regions
 from locusweave.functions.chrom import canonical_chrom, graph_sort_key, is_standard
 from locusweave.operators.copy_number import tracks
 from locusweave.operators.intervals import periods_and_gaps
@@ -20,7 +20,7 @@ from locusweave.operators.observations import clean_sites
 from locusweave.plans.pipeline import build_graphs, infer
 from locusweave.session import settle
 from locusweave.sinks import reports
-from locusweave.sinks.tables import graph_elements, write_tsv
+from locusweave.sinks.tables import write_edge_lines, write_graph, write_tsv
 from locusweave.sources import variants
 from locusweave.sources.alignments import alignment_observations
 from locusweave.sources.delivered_lines import parse_copy_number
@@ -55,10 +55,15 @@ def phase(
     sample: int = 0,
     regions: DataFrame | None = None,
     cn_lines: DataFrame | None = None,
+    contigs: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Everything that inference and graph building give, from variant records (``somatic`` and
     ``germline``, as :func:`variants.read_variants` reads them), alignments, excluded regions and
-    the lines of a copy-number profile (``line_id, line``)."""
+    the lines of a copy-number profile (``line_id, line``). ``contigs`` (``chrom, contig_order``)
+    are the chromosomes that summaries list, also those without a site; a site on any other is an
+    error. Without them they are the chromosomes of the sites."""
+    if config.divergent_same_hp and germline is None:
+        raise ValueError("divergent_same_hp needs germline variants")
     sites = settle(clean_sites(_canonical(variants.somatic_sites(variants.passes(somatic))), F.col("chrom")))
     reads = named_alignments(alignments)
     observed = settle(alignment_observations(reads, sites))
@@ -73,27 +78,44 @@ def phase(
         apart = settle(merged.where("kind = 'period'").drop("kind"))
     found = infer(config, observed, sites, READ, marks, apart)
     proposals = settle(found["proposals"])
-    named = sites.select("chrom").distinct()
-    in_order = F.sort_array(F.collect_set(F.struct(graph_sort_key(F.col("chrom")).alias("key"), "chrom")))
-    listed = named.agg(F.transform(in_order, lambda x: x["chrom"]).alias("all"))
-    contigs = named.select("chrom", F.array_position(listed.scalar(), F.col("chrom")).cast("int").alias("contig_order"))
+    if contigs is None:
+        named = sites.select("chrom").distinct()
+        # Only names of the genome proper are left, 25 at most.
+        in_order = F.sort_array(F.collect_set(F.struct(graph_sort_key(F.col("chrom")).alias("key"), "chrom")))
+        listed = named.agg(F.transform(in_order, lambda x: x["chrom"]).alias("all"))
+        contigs = named.select("chrom", F.array_position(listed.scalar(), F.col("chrom")).cast("int").alias("contig_order"))
+    else:
+        contigs = _canonical(contigs).select("chrom", "contig_order")
+        check_chromosomes(sites, contigs, config)
     cn = None
     if cn_lines is not None:
         rows = parse_copy_number(cn_lines).where("reason is null").select("row.*")
         cn = settle(tracks(rows, F.lit(0), canonical_chrom(F.col("chrom"))))
-    return {**found, "proposals": proposals, **build_graphs(config, proposals, contigs, cn)}
+    return {**found, "proposals": proposals, **build_graphs(config, proposals, contigs, cn, found["kept_sites"])}
 
 
 def write_results(out: dict[str, DataFrame], path: str) -> None:
-    """Every table as parquet, the site and vote tables as tab-separated values, the accepted and
-    condensed graphs as JSON lines, and the proposals as relation files."""
+    """Every table as parquet; the site and vote tables as tab-separated values; all calls and the
+    proposals as relation files; accepted and rejected edges as lines; the full, simplified, ranked
+    and condensed graphs as JSON lines. ``path`` must not hold anything yet."""
+    spark = next(iter(out.values())).sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place) and len(files.listStatus(place)):
+        raise ValueError(f"{path} is not empty")
     for name, df in out.items():
-        df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
-    read = lambda name: out[name].sparkSession.read.parquet(f"{path}/tables/{name}")
+        df.write.parquet(f"{path}/tables/{name}")
+    read = lambda name: spark.read.parquet(f"{path}/tables/{name}")
     write_tsv(reports.site_table(read("sites")), f"{path}/site_table")
     write_tsv(reports.vote_table(read("votes")), f"{path}/vote_table")
     write_relation_files(read("proposals"), f"{path}/relations")
-    graph_elements(read("annotations"), read("accepted")).write.mode("overwrite").partitionBy("chrom").text(f"{path}/graph")
+    write_edge_lines(read("accepted"), f"{path}/accepted_edges")
+    write_edge_lines(read("rejected"), f"{path}/rejected_edges", with_reason=True)
+    write_graph(read("graph_nodes"), read("graph_edges"), f"{path}/graph")
+    write_graph(read("simplified_nodes"), read("simplified"), f"{path}/simplified_graph")
+    for ranking in ("timing_edges", "interesting_edges", "total_edges"):
+        own = [read(t).where(F.col("ranking") == ranking) for t in ("top_nodes", "top_edges")]
+        write_graph(*own, f"{path}/top_graphs/{ranking}", "chrom")
     reports.write_condensed_graph(read("condensed_nodes"), read("condensed_edges"), f"{path}/condensed_graph")
 
 
@@ -107,6 +129,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--exclude-regions-bed", action="append", default=[])
     parser.add_argument("--exclude-chrom", action="append", default=[])
     parser.add_argument("--cn-bed")
+    parser.add_argument("--contigs", help="parquet table of chrom, contig_order")
     parser.add_argument("--divergent-same-hp", action="store_true")
     parser.add_argument("--top-components", type=int, default=50)
     parser.add_argument("--window-size", type=int, default=4)
@@ -132,7 +155,8 @@ def main(given: list[str] | None = None) -> None:
     place = _sample_place(spark, args.germline_vcf, args.germline_vcf_sample_name) if args.germline_vcf else 0
     regions = variants.read_regions(spark, args.exclude_regions_bed) if args.exclude_regions_bed else None
     cn = spark.read.text(args.cn_bed).select(F.lit(None).cast("bigint").alias("line_id"), F.col("value").alias("line")) if args.cn_bed else None
-    out = phase(config, spark.read.parquet(args.alignments), variants.read_variants(spark, args.somatic_vcf), germline, place, regions, cn)
+    contigs = spark.read.parquet(args.contigs) if args.contigs else None
+    out = phase(config, spark.read.parquet(args.alignments), variants.read_variants(spark, args.somatic_vcf), germline, place, regions, cn, contigs)
     write_results(out, args.output_dir)
 
 

@@ -20,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where neither that setting nor an
-    earlier call gave one (tests on one machine) a fresh local folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Where neither that setting nor an earlier call
+    gave one, a session in one process (tests on one machine) takes a fresh local folder; any other
+    raises an error, since its executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 

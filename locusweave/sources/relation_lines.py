@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.operators.acceptance import CARRIED
+
 #: Fixed values of the format: the keys of both sites, and of the pair.
 SITE_KEYS = {"VAF": "vaf", "HVAF": "hvaf", "HAP": "hap", "HP_READS": "hp_reads"}
 PAIR_KEYS = {"RELIABILITY": "reliability", "BEST_SCORE": "best_score", "MARGIN": "margin"}
@@ -47,6 +49,8 @@ def edges_of_lines(lines: DataFrame, line: str, relation: Column) -> DataFrame:
     for key, name in SITE_KEYS.items():
         read = number if key.endswith("VAF") else value
         one, two = read(f"{key}1"), read(f"{key}2")
+        if read is value:
+            one, two = (F.when(~F.upper(x).isin(*_MISSING), x) for x in (one, two))
         if key == "VAF":
             one, two = F.coalesce(one, F.lit(0.0)), F.coalesce(two, F.lit(0.0))
         sides[f"{name}_u"] = F.when(turned, two).otherwise(one)
@@ -92,17 +96,28 @@ def line_of_edge() -> Column:
         pick("v", "u"),
         token("VAF1", pick("vaf_u", "vaf_v")),
         token("VAF2", pick("vaf_v", "vaf_u")),
+        token("HVAF1", pick("hvaf_u", "hvaf_v")),
+        token("HVAF2", pick("hvaf_v", "hvaf_u")),
         token("HAP1", pick("hap_u", "hap_v")),
         token("HAP2", pick("hap_v", "hap_u")),
+        token("HP_READS1", pick("hp_reads_u", "hp_reads_v")),
+        token("HP_READS2", pick("hp_reads_v", "hp_reads_u")),
         *(token(k, c) for k, c in counts.items()),
         token("TOTAL", total),
         token("RELIABILITY", F.col("reliability")),
+        token("BEST_SCORE", F.col("best_score")),
+        token("MARGIN", F.col("margin")),
     )
 
 
+def with_carried(edges: DataFrame) -> DataFrame:
+    """``edges`` with the columns of :data:`CARRIED`, null where they are missing."""
+    return edges.withColumns({c: F.lit(None).cast("string") for c in CARRIED if c not in edges.columns})
+
+
 def write_relation_files(edges: DataFrame, path: str) -> None:
     """One folder of lines per relation, ``file=<relation>`` below ``path``; overwrites."""
-    edges.select(relation_of_edge().alias("file"), line_of_edge().alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    with_carried(edges).select(relation_of_edge().alias("file"), line_of_edge().alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
 def read_relation_files(spark, path: str) -> DataFrame:

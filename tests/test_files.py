@@ -75,7 +75,9 @@ def test_sinks(spark, tmp_path):
     nodes = spark.createDataFrame([("1", 5, 0.5, "HP1")], "chrom string, pos long, vaf double, haplotype string")
     edges = spark.createDataFrame([("1", 5, 6, "timing", 1.5, 1, 2, 3, 4, "timing_cycle")], "chrom string, u long, v long, relation string, reliability double, alt_alt int, alt_ref int, ref_alt int, ref_ref int, reason string")
     sinks.write_edge_lines(edges, str(tmp_path / "e"), with_reason=True)
-    assert rows(spark.read.text(str(tmp_path / "e"))) == [("1\t5\t6\ttiming\tREADS=1/2/3/4\tRELIABILITY=1.500\tREASON=timing_cycle",)]
+    assert rows(spark.read.text(str(tmp_path / "e"))) == [
+        ("1 5 6 RELATION=timing VAF1=NA VAF2=NA ALT_ALT=1 ALT_REF=2 REF_ALT=3 REF_REF=4 TOTAL=10 HP_READS1=UNKNOWN HP_READS2=UNKNOWN RELIABILITY=1.5 BEST_SCORE=NA MARGIN=NA REASON=timing_cycle",)
+    ]
     sinks.write_graph(nodes, edges, str(tmp_path / "g"))
     assert spark.read.json(str(tmp_path / "g")).where("data.directed and data.source = '5'").count() == 1
     sinks.write_tsv(nodes.withColumn("x", F.lit(None).cast("string")), str(tmp_path / "t"))
