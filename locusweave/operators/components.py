@@ -1,6 +1,7 @@
 """Connected components of large graphs by alternating large-star and small-star steps.
 
-Each task first joins the edges it holds into a forest. The steps then replace edges by edges to the
+Vertices are numbers, and edges between near ones are brought together first, by blocks of the axis,
+where each task joins what it holds into a forest. The steps then replace edges by edges to the
 smallest neighbour (Kiveris et al. 2014): the number of edges never grows, hubs are spread by the
 map-side minimum before the join, and a handful of rounds ends with a star around the smallest
 vertex of each component.
@@ -20,6 +21,8 @@ from locusweave.session import release, settle
 MOST_ROUNDS = 60
 #: Edges that a task joins into a forest together.
 HELD = 1 << 20
+#: Bits of the positions in a block, pass by pass.
+BLOCKS = (16, 24)
 
 
 def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -87,8 +90,11 @@ def components(edges: DataFrame, scope: list[str], u: str, v: str) -> DataFrame:
     """
     known = edges.dropna(subset=[*scope, u, v])
     given = known.select(*scope, F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    first = now = settle(given.mapInArrow(_forests, given.schema).distinct())
-    now = now.where("u <> v")
+    forests = given
+    for bits in BLOCKS:
+        forests = forests.repartition(*scope, F.shiftright("u", bits)).mapInArrow(_forests, given.schema)
+    first = settle(forests.distinct())
+    now = first.where("u <> v")
     for _ in range(MOST_ROUNDS):
         if _unsettled(now, scope).isEmpty():
             break

@@ -12,9 +12,10 @@ from itertools import combinations, product
 from math import log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from locusweave.operators.pairs import RELATIONS
 
@@ -126,21 +127,32 @@ def _fit(like: np.ndarray, noise: np.ndarray, weight: np.ndarray, held: np.ndarr
     """
     like = (1 - OUTLIER) * like
     background = OUTLIER * noise[:, None]
+    score = lambda of: weight @ np.log(like @ of + background)
     share = held / held.sum(0)
-    last = np.full(held.shape[1], -np.inf)
-    live = np.arange(held.shape[1])
-    for _ in range(ROUNDS):
+    live, last = np.arange(held.shape[1]), share
+    for step in range(ROUNDS):
         now = share[:, live]
-        total = like @ now + background
-        level = weight @ np.log(total)
-        new = now * (like.T @ (weight[:, None] / total)) + PSEUDO * held[:, live]
+        new = now * (like.T @ (weight[:, None] / (like @ now + background))) + PSEUDO * held[:, live]
         new /= new.sum(0)
-        still = (np.abs(level - last[live]) < TOLERANCE) & (np.abs(new - now).max(0) < TOLERANCE)
-        share[:, live], last[live] = new, level
-        live = live[~still]
+        share[:, live] = new
+        # Whether the score has settled is asked only where the shares have.
+        calm = np.flatnonzero(np.abs(new - now).max(0) < TOLERANCE) if step else np.zeros(0, int)
+        still = np.zeros(len(live), bool)
+        if len(calm):
+            still[calm] = np.abs(score(now[:, calm]) - score(last[:, calm])) < TOLERANCE
+        live, last = live[~still], now[:, ~still]
         if not len(live):
             break
-    return weight @ np.log(like @ share + background)
+    return score(share)
+
+
+def _bounds(like: np.ndarray, noise: np.ndarray, weight: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """What no log-likelihood of a tree can exceed: every read at its best node."""
+    out = []
+    for at in range(0, held.shape[1], BATCH):
+        top = (like[:, :, None] * held[None, :, at : at + BATCH]).max(1)
+        out.append(weight @ np.log((1 - OUTLIER) * top + OUTLIER * noise[:, None]))
+    return np.concatenate(out)
 
 
 def fit_window(alleles: np.ndarray, errors: np.ndarray, weight: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -149,11 +161,8 @@ def fit_window(alleles: np.ndarray, errors: np.ndarray, weight: np.ndarray) -> t
     held, size, relations = space(alleles.shape[1])
     like, noise = read_likelihoods(alleles, errors)
     penalty = size * log(max(2, weight.sum()))
-    if len(size) > BATCH:
-        top = np.stack([(like * h).max(1) for h in held.T], 1)
-    else:
-        top = np.ones((len(noise), len(size)))  # all trees fit in one batch: no bound is needed
-    bound = -2 * (weight @ np.log((1 - OUTLIER) * top + OUTLIER * noise[:, None])) + penalty
+    # Trees that fit in one batch are fitted whatever their bound: it would spare one in two hundred.
+    bound = penalty - 2 * _bounds(like, noise, weight, held) if len(size) > BATCH else penalty
     bic = np.full(len(size), np.inf)
     pair = np.arange(relations.shape[1])
     lowest = np.full((relations.shape[1], len(RELATIONS)), np.inf)
@@ -161,42 +170,59 @@ def fit_window(alleles: np.ndarray, errors: np.ndarray, weight: np.ndarray) -> t
     while len(order):
         batch, order = order[:BATCH], order[BATCH:]
         bic[batch] = -2 * _fit(like, noise, weight, held[:, batch]) + penalty[batch]
-        for t in batch:
-            here = lowest[pair, relations[t]]
-            lowest[pair, relations[t]] = np.minimum(here, bic[t])
+        for r in range(len(RELATIONS)):
+            lowest[:, r] = np.minimum(lowest[:, r], np.where(relations[batch] == r, bic[batch, None], np.inf).min(0))
         # A tree is of use only if its bound does not exceed all the minima it could lower.
         order = order[(bound[order] <= lowest[pair[None], relations[order]].max(1) + 1e-9)]
     return int(np.argmin(bic)), bic, lowest
 
 
-def _fit_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    n = int(rows["n_sites"].iloc[0])
-    alleles = rows[[f"a{k}" for k in range(n)]].to_numpy(np.int64)
-    errors = rows[[f"e{k}" for k in range(n)]].to_numpy(float)
+FIT_SCHEMA = pa.schema(
+    [("chrom", pa.string()), ("window_id", pa.int64()), ("best_tree", pa.int32()), ("best_bic", pa.float64()), ("groups", pa.string()), ("parents", pa.string())]
+    + [("n_reads", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]
+    + [(f"bic_{r}", pa.float64()) for r in RELATIONS]
+)
+
+
+def _fitted(chrom: str, window: int, n: int, alleles: np.ndarray, errors: np.ndarray, reads: np.ndarray) -> dict[str, list]:
+    """The rows of one window: a row for each pair of its sites."""
     order = np.lexsort((*errors.T, *alleles.T))  # sums of floats are taken in one order always
-    weight = rows["reads"].to_numpy(float)[order]
+    weight = reads[order]
     best, bic, lowest = fit_window(alleles[order], errors[order], weight)
     groups, parents = trees(n)[best]
-    places = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    return pd.DataFrame(
-        {
-            "chrom": rows["chrom"].iloc[0],
-            "window_id": rows["window_id"].iloc[0],
-            "best_tree": best,
-            "best_bic": bic[best],
-            "groups": str([list(g) for g in groups]),
-            "parents": str(list(parents)),
-            "n_reads": int(weight.sum()),
-            "i": [i for i, _ in places],
-            "j": [j for _, j in places],
-            **{f"bic_{r}": lowest[:, k] for k, r in enumerate(RELATIONS)},
-        }
-    )
-
-
-FIT_SCHEMA = "chrom string, window_id bigint, best_tree int, best_bic double, groups string, parents string, n_reads bigint, i int, j int, " + ", ".join(
-    f"bic_{r} double" for r in RELATIONS
-)
+    places = list(combinations(range(n), 2))
+    many = len(places)
+    named = (chrom, window, best, float(bic[best]), str([list(g) for g in groups]), str(list(parents)), int(weight.sum()))
+    columns = [[value] * many for value in named] + [[i for i, _ in places], [j for _, j in places], *lowest.T.tolist()]
+    return dict(zip(FIT_SCHEMA.names, columns, strict=True))
+
+
+def _fit_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows lie one after the other; the last one of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = list(zip(rows["chrom"].to_pylist(), rows["window_id"].to_pylist(), strict=True))
+        begun = next((k for k in range(len(keys) - 1, 0, -1) if keys[k] != keys[k - 1]), 0)
+        if begun:
+            yield _fit_table(rows.slice(0, begun))
+            held = rows.slice(begun).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield _fit_table(pa.Table.from_batches(held))
+
+
+def _fit_table(rows: pa.Table) -> pa.RecordBatch:
+    chroms, windows, sizes = (rows[c].to_pylist() for c in ("chrom", "window_id", "n_sites"))
+    alleles, errors = (np.stack([rows[f"{c}{k}"].to_numpy() for k in range(MOST_SITES)], 1) for c in "ae")
+    reads = rows["reads"].to_numpy().astype(float)
+    starts = [k for k in range(len(windows)) if k == 0 or (chroms[k], windows[k]) != (chroms[k - 1], windows[k - 1])]
+    out: dict[str, list] = {name: [] for name in FIT_SCHEMA.names}
+    for lo, hi in zip(starts, [*starts[1:], len(windows)], strict=True):
+        n = sizes[lo]
+        for name, values in _fitted(chroms[lo], windows[lo], n, alleles[lo:hi, :n], errors[lo:hi, :n], reads[lo:hi]).items():
+            out[name] += values
+    return pa.RecordBatch.from_pydict(out, schema=FIT_SCHEMA)
 
 
 def fit_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -213,4 +239,5 @@ def fit_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
     sized = flat.join(windows.select("chrom", "window_id", F.size("sites").alias("n_sites")), ["chrom", "window_id"])
     # Little data but much work per window: the number is given so that no tasks are merged.
     tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sized.repartition(tasks, "chrom", "window_id").groupBy("chrom", "window_id").applyInPandas(_fit_rows, FIT_SCHEMA)
+    keys = ["chrom", "window_id"]
+    return sized.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_fit_sorted, from_arrow_schema(FIT_SCHEMA))
