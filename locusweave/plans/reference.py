@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.chrom import canonical_chrom, canonical_chrom_sql
@@ -176,6 +176,33 @@ def graph_connectivity(spark, sf):
     return graph_reports.connectivity(sites_clean(spark, sf), edges_clean(spark, sf), _decided(spark, sf))
 
 
+def _first_edges(spark, sf) -> DataFrame:
+    """The delivered edges under a decision that SQL can take as well: of all edges between two
+    sites the first in the order of acceptance is accepted."""
+    order = (F.desc("reliability"), "relation_rank", F.desc(pairs.informative()), "u", "v", "relation")
+    place = F.row_number().over(Window.partitionBy("chrom", F.least("u", "v"), F.greatest("u", "v")).orderBy(*order))
+    return _proper(spark, sf).withColumn("status", F.when(place == 1, "accepted").otherwise("rejected"))
+
+
+def connectivity_of_first_edges(spark, sf):
+    return graph_reports.connectivity(sites_clean(spark, sf), edges_clean(spark, sf), _first_edges(spark, sf))
+
+
+def chains_of_best_arcs(spark, sf):
+    """Chains over each cluster's best timing arc, of those that lead to a later cluster."""
+    condensed = graph_reports.condensed_edges(_with_clusters(settle(_first_edges(spark, sf).where("status = 'accepted'"))))
+    best = Window.partitionBy("chrom", "source").orderBy(F.desc("reliability"), F.desc("support_edge_count"), "target")
+    arcs = condensed.where("relation = 'timing' and source < target").withColumn("place", F.row_number().over(best)).where("place = 1")
+    return chains.timing_chains(arcs).withColumn("path", F.array_join("path", ">"))
+
+
+def simplified_proposals(spark, sf):
+    """The simplified view of all delivered edges as they are, ``unknown`` ones included."""
+    known = acceptance.clean_edges(table(spark, sf, "edges"), _chrom(), (*graph_reports.RELATIONS, "unknown")).where("u <> v")
+    edges = settle(known)
+    return simplify.simplified(edges, settle(graph_reports.site_annotations(edges)))
+
+
 def edge_haplotype_summary(spark, sf):
     return graph_reports.haplotype_counters(edges_clean(spark, sf))
 
@@ -275,7 +302,7 @@ def topn_components(spark, sf):
 
 def timing_chains(spark, sf):
     accepted = _decided(spark, sf).where("status = 'accepted'")
-    return chains.timing_chains(settle(graph_reports.condensed_edges(accepted)))
+    return chains.timing_chains(settle(graph_reports.condensed_edges(accepted))).withColumn("path", F.array_join("path", ">"))
 
 
 def global_summary(spark, sf):
@@ -356,6 +383,7 @@ QUERIES = {
         obs_resolved, obs_stats, sites_clean, excluded_sites, pair_candidates, pair_gate, candidates_clean, candidate_components,
         read_votes, read_assignment_totals, site_summary, support_filtered_sites,
         regular_windows, regular_window_sites, all_windows, pair_window_assignment, window_read_patterns, relationship_calls, proposals, window_conflicts,
+        connectivity_of_first_edges, chains_of_best_arcs, simplified_proposals,
         edges_clean, edge_order, accepted_edges, rejected_edges, graph_connectivity, edge_haplotype_summary, component_stats,
         accepted_component_stats, cross_haplotype_filter, nearest_neighbour_thinning, condensed_nodes, condensed_edges, relation_dedup,
         simplified_graph, graph_layout, topn_layout, topn_components, topn_simplified, timing_chains, global_summary, interval_coverage, cn_best_segment, cn_merged_segments,
@@ -403,12 +431,14 @@ SELECT chrom, left_pos, right_pos, s.alt_alt, s.alt_ref, s.ref_alt, s.ref_ref FR
   GROUP BY chrom, left_pos, right_pos)"""
 
 
-def _reach(edges: str) -> str:
-    """Recursive SQL: ``reach(chrom, pos, component)`` over ``edges(chrom, u, v)``."""
-    return f"""e0 AS ({edges}), both_ways AS (SELECT chrom, u AS a, v AS b FROM e0 UNION SELECT chrom, v, u FROM e0),
-walk AS (SELECT DISTINCT chrom, a AS pos, a AS hit FROM both_ways
-         UNION SELECT walk.chrom, walk.pos, both_ways.b FROM walk JOIN both_ways ON both_ways.chrom = walk.chrom AND both_ways.a = walk.hit),
-reach AS (SELECT chrom, pos, min(hit) AS component FROM walk GROUP BY chrom, pos)"""
+def _reach(edges: str, name: str = "") -> str:
+    """Recursive SQL: ``reach(chrom, pos, component)`` over ``edges(chrom, u, v)``; its tables begin
+    with ``name``."""
+    e0, ways, walk = f"{name}e0", f"{name}both_ways", f"{name}walk"
+    return f"""{e0} AS ({edges}), {ways} AS (SELECT chrom, u AS a, v AS b FROM {e0} UNION SELECT chrom, v, u FROM {e0}),
+{walk} AS (SELECT DISTINCT chrom, a AS pos, a AS hit FROM {ways}
+         UNION SELECT {walk}.chrom, {walk}.pos, {ways}.b FROM {walk} JOIN {ways} ON {ways}.chrom = {walk}.chrom AND {ways}.a = {walk}.hit),
+{name}reach AS (SELECT chrom, pos, min(hit) AS component FROM {walk} GROUP BY chrom, pos)"""
 
 
 _LABEL = """CASE WHEN {a} + {b} < {least} THEN '{none}'
@@ -477,6 +507,10 @@ SELECT chrom, u, v, relation, {", ".join(f"s.{c} AS {c}" for c in _EDGE_FIELDS)}
   WHERE relation IN ('cooccurring', 'timing', 'divergent') AND chrom IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL
   GROUP BY chrom, u, v, relation)"""
 _PROPER = f"SELECT * FROM ({_EDGES}) WHERE u <> v"
+_WITH_UNKNOWN = _EDGES.replace("relation IN ('cooccurring', 'timing', 'divergent')", "relation IN ('cooccurring', 'timing', 'divergent', 'unknown')")
+_FIRST = f"""
+SELECT *, row_number() OVER (PARTITION BY chrom, least(u, v), greatest(u, v)
+            ORDER BY reliability DESC, relation_rank, alt_alt + alt_ref + ref_alt DESC, u, v, relation) = 1 AS taken FROM ({_PROPER})"""
 
 _ENDS = """SELECT chrom, u AS pos, v AS other, vaf_u AS vaf, hap_u AS hap FROM {e} UNION ALL SELECT chrom, v, u, vaf_v, hap_v FROM {e}"""
 
@@ -715,6 +749,49 @@ FROM ({_EDGES})""",
     "vote_table": f"""
 SELECT chrom AS CHROM, read_id AS READ_NAME, hp1 AS HP1_GERMLINE_VOTES, hp2 AS HP2_GERMLINE_VOTES, hp1 + hp2 AS TOTAL_INFORMATIVE_GERMLINE_MUTATIONS,
        CASE WHEN hp1 + hp2 > 0 THEN round(CAST(least(hp1, hp2) AS double) / (hp1 + hp2), 6) END AS MINORITY_FRACTION, assignment AS ASSIGNMENT FROM ({_VOTES})""",
+    "connectivity_of_first_edges": f"""
+WITH d AS ({_FIRST}), e AS ({_EDGES}), s AS (SELECT DISTINCT chrom, pos FROM ({_SITES})),
+r AS (SELECT chrom, u AS pos FROM e UNION SELECT chrom, v FROM e),
+g AS (SELECT chrom, u AS pos FROM d WHERE taken UNION SELECT chrom, v FROM d WHERE taken),
+t AS (SELECT chrom, u AS pos FROM d WHERE taken AND relation = 'timing' UNION SELECT chrom, v FROM d WHERE taken AND relation = 'timing'),
+c AS (SELECT chrom, 'total_sites' AS k FROM s UNION ALL SELECT chrom, 'in_relations' FROM r UNION ALL SELECT chrom, 'in_graph' FROM g
+      UNION ALL SELECT chrom, 'with_timing' FROM t UNION ALL SELECT chrom, 'accepted_edges' FROM d WHERE taken
+      UNION ALL SELECT chrom, 'timing_edges' FROM d WHERE taken AND relation = 'timing')
+SELECT *, in_relations - in_graph AS orphaned, total_sites - in_relations AS singleton FROM (
+  SELECT chrom, {", ".join(f"CAST(count(*) FILTER (k = '{k}') AS bigint) AS {k}" for k in ("total_sites", "in_relations", "in_graph", "with_timing", "accepted_edges", "timing_edges"))}
+  FROM c GROUP BY ROLLUP (chrom))""",
+    "chains_of_best_arcs": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT * FROM ({_FIRST}) WHERE taken), {_reach("SELECT chrom, u, v FROM d WHERE relation = 'cooccurring'")},
+h AS (SELECT n.chrom, n.pos, coalesce(r.component, n.pos) AS cluster
+      FROM (SELECT chrom, u AS pos FROM d UNION SELECT chrom, v FROM d) n LEFT JOIN reach r ON r.chrom = n.chrom AND r.pos = n.pos),
+k AS (SELECT d.chrom, x.cluster AS s, y.cluster AS t, max(reliability) AS w, count(*) AS n FROM d
+      JOIN h x ON x.chrom = d.chrom AND x.pos = d.u JOIN h y ON y.chrom = d.chrom AND y.pos = d.v WHERE relation = 'timing' AND x.cluster < y.cluster GROUP BY ALL),
+a AS MATERIALIZED (SELECT chrom, s, t FROM k QUALIFY row_number() OVER (PARTITION BY chrom, s ORDER BY w DESC, n DESC, t) = 1),
+p AS (SELECT chrom, t AS at, [CAST(s AS varchar), CAST(t AS varchar)] AS path FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.chrom = a.chrom AND b.t = a.s)
+      UNION ALL SELECT p.chrom, a.t, list_append(p.path, CAST(a.t AS varchar)) FROM p JOIN a ON a.chrom = p.chrom AND a.s = p.at)
+SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY path) - 1 AS chain_index, array_to_string(path, '>') AS path FROM p
+WHERE len(path) >= 3 AND NOT EXISTS (SELECT 1 FROM a WHERE a.chrom = p.chrom AND a.s = p.at)""",
+    "simplified_proposals": f"""
+WITH RECURSIVE x AS MATERIALIZED (SELECT * FROM ({_WITH_UNKNOWN}) WHERE u <> v), n AS ({_sites_of("x")}),
+q AS MATERIALIZED (SELECT x.* FROM x LEFT JOIN n a ON a.chrom = x.chrom AND a.pos = x.u LEFT JOIN n b ON b.chrom = x.chrom AND b.pos = x.v
+      WHERE NOT coalesce((a.haplotype = 'HP1' AND b.haplotype = 'HP2') OR (a.haplotype = 'HP2' AND b.haplotype = 'HP1'), false)),
+{_reach("SELECT chrom, u, v FROM q WHERE relation = 'cooccurring'")},
+h AS MATERIALIZED (SELECT n.chrom, n.pos, coalesce(r.component, n.pos) AS cluster
+      FROM (SELECT chrom, u AS pos FROM q UNION SELECT chrom, v FROM q) n LEFT JOIN reach r ON r.chrom = n.chrom AND r.pos = n.pos),
+thin AS MATERIALIZED (SELECT DISTINCT chrom, u, v FROM (
+  SELECT chrom, u, min(v) AS v FROM q WHERE relation = 'cooccurring' GROUP BY chrom, u UNION ALL SELECT chrom, max(u), v FROM q WHERE relation = 'cooccurring' GROUP BY chrom, v)),
+{_reach("SELECT chrom, u, v FROM thin", "t_")},
+piece AS (SELECT h.chrom, h.cluster, coalesce(r.component, h.pos) AS piece, min(h.pos) AS first, max(h.pos) AS last
+          FROM h LEFT JOIN t_reach r ON r.chrom = h.chrom AND r.pos = h.pos GROUP BY ALL),
+bridge AS (SELECT chrom, last AS u, lead(first) OVER (PARTITION BY chrom, cluster ORDER BY first) AS v FROM piece),
+ends AS (SELECT q.*, u AS node, v AS other FROM q WHERE relation IN ('timing', 'divergent') UNION ALL SELECT q.*, v, u FROM q WHERE relation IN ('timing', 'divergent')),
+placed AS (SELECT e.chrom, e.u, e.v, e.relation, e.reliability, row_number() OVER (PARTITION BY e.chrom, e.relation, e.node, h.cluster
+             ORDER BY alt_alt + alt_ref + ref_alt DESC, reliability DESC, u DESC, v DESC) AS k FROM ends e JOIN h ON h.chrom = e.chrom AND h.pos = e.other)
+SELECT t.chrom, t.u, t.v, 'cooccurring' AS relation, max(q.reliability) AS reliability, false AS inferred
+FROM thin t JOIN q ON q.chrom = t.chrom AND q.u = t.u AND q.v = t.v AND q.relation = 'cooccurring' GROUP BY t.chrom, t.u, t.v
+UNION ALL SELECT chrom, u, v, 'cooccurring', 0.0, true FROM bridge WHERE v IS NOT NULL
+UNION ALL SELECT chrom, u, v, relation, any_value(reliability), false FROM placed GROUP BY chrom, u, v, relation HAVING max(k) = 1
+UNION ALL SELECT chrom, u, v, relation, reliability, false FROM q WHERE relation = 'unknown'""",
     "regular_window_sites": f"""{_REGULAR}
 SELECT s.chrom, s.component, min(s.pos) OVER (PARTITION BY s.chrom, s.component, s.first) AS first, CAST(s.place AS int) AS place, s.pos
 FROM s JOIN whole ON whole.chrom = s.chrom AND whole.component = s.component AND whole.first = s.first""",
