@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusweave.operators.pairs import RELATIONS, margin, same_haplotype_gate, supports
 from locusweave.operators.trees import fit_windows
-from locusweave.operators.windows import all_windows, assign_pairs, read_patterns
+from locusweave.operators.windows import all_windows, assign_pairs, covered_pairs, read_patterns
 from locusweave.session import settle
 
 #: In which order relations of equal reliability are tried.
@@ -17,28 +17,56 @@ RELATION_RANK = {"cooccurring": 0, "divergent": 1, "left_before_right": 2, "righ
 def pair_results(pairs: DataFrame, resolved: DataFrame, read: list[str], size: int, stride: int) -> DataFrame:
     """Each eligible pair with its counts, its window, and the lowest BIC of each relation there."""
     windows = settle(all_windows(pairs, size, stride))
-    fits = fit_windows(windows, read_patterns(windows, resolved, read))
-    chosen = assign_pairs(pairs, windows)
-    found = chosen.join(fits, ["chrom", "window_id", "i", "j"])
+    return results_of(pairs, windows, fit_windows(windows, read_patterns(windows, resolved, read)))
+
+
+def results_of(pairs: DataFrame, windows: DataFrame, fits: DataFrame) -> DataFrame:
+    """:func:`pair_results` from windows and their fits."""
+    found = assign_pairs(pairs, windows).join(fits, ["chrom", "window_id", "i", "j"])
     return pairs.join(found.drop("sites", "i", "j"), ["chrom", "left_pos", "right_pos"])
 
 
+def window_table(windows: DataFrame, fits: DataFrame) -> DataFrame:
+    """One row per window: its sites, reads, best tree and that tree's BIC."""
+    one = fits.where("i = 0 and j = 1").select("chrom", "window_id", "n_reads", "best_tree", "best_bic", "groups", "parents")
+    listed = windows.select("chrom", "component", "window_id", F.size("sites").alias("n_sites"), F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
+    return listed.join(one, ["chrom", "window_id"], "left")
+
+
+def check_calls(calls: DataFrame) -> None:
+    """Raises if a pair is called more than once, or otherwise than by its lowest BIC."""
+    wrong = F.abs(F.element_at(F.map_from_arrays(F.array(*map(F.lit, RELATIONS)), _bics()), F.col("relation")) - F.array_min(_bics())) > 1e-7
+    if calls.where(wrong | F.col("relation").isNull()).limit(1).count():
+        raise ValueError("a pair is not called by its lowest BIC")
+    if calls.groupBy("chrom", "left_pos", "right_pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a pair is called more than once")
+
+
 def window_opinions(windows: DataFrame, fits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per eligible pair in more than one window: how many windows call which relation."""
+    """Per eligible pair in more than one window: the windows, and how many call which relation."""
     called = fits.select("chrom", "window_id", "i", "j", called_relation().alias("relation"))
     slots = windows.select("chrom", "window_id", F.posexplode("sites").alias("i", "left_pos"), "sites").select(
         "chrom", "window_id", "i", "left_pos", F.posexplode("sites").alias("j", "right_pos")
     )
     votes = slots.join(called, ["chrom", "window_id", "i", "j"]).join(pairs.select("chrom", "left_pos", "right_pos"), ["chrom", "left_pos", "right_pos"])
-    counted = votes.groupBy("chrom", "left_pos", "right_pos", "relation").agg(F.count(F.lit(1)).alias("n"))
+    counted = votes.groupBy("chrom", "left_pos", "right_pos", "relation").agg(F.count(F.lit(1)).alias("n"), F.collect_set("window_id").alias("ids"))
+    ids = F.array_sort(F.flatten(F.collect_list("ids"))).cast("array<string>")
     return counted.groupBy("chrom", "left_pos", "right_pos").agg(
         F.sum("n").alias("n_windows"),
+        F.array_join(ids, ",").alias("window_ids"),
         F.count(F.lit(1)).alias("n_relations"),
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("relation", "n"))))).alias("relations"),
         (F.count(F.lit(1)) > 1).alias("conflict"),
     ).where("n_windows > 1")
 
 
+def multiplicity(windows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """How many eligible pairs lie in how many windows, per chromosome."""
+    keys = ["chrom", "left_pos", "right_pos"]
+    held = covered_pairs(windows).join(pairs.select(*keys), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
+    return held.groupBy("chrom", "n_windows").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def _bics():
     return F.array(*(F.col(f"bic_{r}") for r in RELATIONS))
 

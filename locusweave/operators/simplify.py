@@ -48,6 +48,23 @@ def bridges(thinned: DataFrame, clusters: DataFrame) -> DataFrame:
     return following.where("v is not null").select("chrom", F.col("last").alias("u"), "v")
 
 
+def fragmented(thinned: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``chrom, cluster, pieces`` of the clusters that thinning took apart."""
+    found = components(thinned, ["chrom"], "u", "v").withColumnRenamed("vertex", "pos")
+    piece = F.coalesce("component", "pos")
+    counted = clusters.join(found, ["chrom", "pos"], "left").groupBy("chrom", "cluster").agg(F.count_distinct(piece).alias("pieces"))
+    return counted.where("pieces > 1")
+
+
+def check_nodes(edges: DataFrame, annotations: DataFrame) -> None:
+    """Raises if an end of an edge is no node, or a node is there more than once."""
+    ends = edges.select("chrom", F.explode(F.array("u", "v")).alias("pos")).distinct()
+    if ends.join(annotations, ["chrom", "pos"], "left_anti").limit(1).count():
+        raise ValueError("an edge ends at a site that is no node")
+    if annotations.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a node is there more than once")
+
+
 def best_per_cluster(edges: DataFrame, relation: str, clusters: DataFrame) -> DataFrame:
     """Edges of ``relation`` that are the best of their site towards the other end's cluster, seen
     from both ends: by informative reads, reliability, then the edge's positions."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.config import PhaseConfig
-from locusweave.operators import acceptance, calls, chains, copy_number, graph_reports, layout, observations, pairs, simplify, tallies
+from locusweave.operators import acceptance, calls, chains, copy_number, graph_reports, layout, observations, pairs, simplify, tallies, trees, windows
 from locusweave.operators.components import components
 from locusweave.session import settle
 
@@ -28,10 +28,17 @@ def infer(config: PhaseConfig, obs: DataFrame, sites: DataFrame, read: list[str]
     kept = observations.supported(summary)
     resolved = settle(observations.resolve(held.join(kept, ["chrom", "pos"], "left_semi"), read))
     eligible = settle(pairs.eligible(pairs.pair_candidates(resolved, read)))
-    called = settle(calls.relationship_calls(calls.pair_results(eligible, resolved, read, config.window_size, config.window_stride)))
+    found_windows = settle(windows.all_windows(eligible, config.window_size, config.window_stride))
+    fits = settle(trees.fit_windows(found_windows, windows.read_patterns(found_windows, resolved, read)))
+    called = settle(calls.relationship_calls(calls.results_of(eligible, found_windows, fits)))
+    calls.check_calls(called)
     labels = kept.select("chrom", "pos", "label") if config.divergent_same_hp and markers is not None else None
     annotated = _annotated(calls.proposals(called, labels), kept)
     found = {"votes": votes, "sites": summary, "kept_sites": kept, "pairs": eligible, "calls": called, "proposals": annotated}
+    found["windows"] = calls.window_table(found_windows, fits)
+    found["window_opinions"] = calls.window_opinions(found_windows, fits, eligible)
+    found["window_multiplicity"] = calls.multiplicity(found_windows, eligible)
+    found["observation_statistics"] = observations.observation_statistics(held, read)
     found["label_tally"] = tallies.label_tally(kept, F.col("label"))
     found["vote_totals"] = observations.assignment_totals(votes)
     sides = kept.select("chrom", "pos", "label")
@@ -99,6 +106,7 @@ def build_graphs(config: PhaseConfig, proposals: DataFrame, contigs: DataFrame,
     rejected = decided.where("status = 'rejected'")
     exported = settle(_exported(decided))
     annotations = settle(graph_reports.exported_annotations(accepted, rejected))
+    simplify.check_nodes(exported, annotations)
     point = annotations.select("chrom", F.col("pos").alias("span"), F.col("pos").alias("first"), F.col("pos").alias("last"))
     at_sites = _copy_numbers(point, cn_tracks)
     at_sites = settle(at_sites) if at_sites is not None else None
@@ -133,6 +141,7 @@ def build_graphs(config: PhaseConfig, proposals: DataFrame, contigs: DataFrame,
         "condensed_support": graph_reports.support_details(accepted),
         "simplified": simple,
         "simplified_nodes": simple_nodes,
+        "fragmented_clusters": simplify.fragmented(simplify.nearest_neighbours(exported), simplify.clusters_of(exported)),
         "top_components": top,
         "top_nodes": top_nodes,
         "top_edges": top_edges,

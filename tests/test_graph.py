@@ -105,6 +105,10 @@ def test_thinning_bridges_and_dedup(spark):
     split = spark.createDataFrame([("1", 1, 2), ("1", 5, 6)], "chrom string, u long, v long")
     cluster = spark.createDataFrame([("1", p, 1) for p in (1, 2, 5, 6, 9)], "chrom string, pos long, cluster long")
     assert rows(simplify.bridges(split, cluster)) == [("1", 2, 5), ("1", 6, 9)]
+    assert rows(simplify.fragmented(split, cluster)) == [("1", 1, 3)]
+    for nodes in ([("1", 1)], [("1", 1), ("1", 2), ("1", 5), ("1", 6), ("1", 6)]):
+        with pytest.raises(ValueError, match="node"):
+            simplify.check_nodes(split, spark.createDataFrame(nodes, "chrom string, pos long"))
     timing = [("1", 1, 10, T, 1.0, 1, 1, 1, 0), ("1", 1, 11, T, 2.0, 1, 1, 1, 0), ("1", 2, 11, T, 2.0, 0, 1, 1, 0)]
     home = spark.createDataFrame([("1", 1, 1), ("1", 2, 1), ("1", 10, 10), ("1", 11, 10)], "chrom string, pos long, cluster long")
     assert rows(simplify.best_per_cluster(spark.createDataFrame(timing, SLIM), T, home), "u", "v") == [(1, 11)]
