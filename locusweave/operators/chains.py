@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +75,28 @@ def timing_chains(edges: DataFrame) -> DataFrame:
     timing = settle(edges.where("relation = 'timing'").select("chrom", "source", "target").distinct())
     if timing.isEmpty():
         return timing.select("chrom", F.lit(0).cast("bigint").alias("chain_index"), F.array().cast("array<string>").alias("path"))
-    arcs = settle(_stretches(timing))
-    entered = arcs.select("chrom", F.col("target").alias("source")).distinct()
-    left = arcs.select("chrom", F.col("source").alias("end")).distinct()
-    roots = arcs.select("chrom", "source").distinct().join(entered, ["chrom", "source"], "left_anti")
-    growing = settle(roots.select("chrom", F.col("source").alias("end"), F.array(_name("source")).alias("path")))
-    done = growing.where("false").select("chrom", "path")
-    while not growing.isEmpty():
-        grown = growing.join(arcs.withColumnRenamed("source", "end"), ["chrom", "end"])
+    stretches = _stretches(timing)
+    onward = timing.select("chrom", F.col("source").alias("target"), F.lit(False).alias("leaf")).distinct()
+    arcs = settle(stretches.join(onward, ["chrom", "target"], "left").na.fill(True, ["leaf"]))
+    entered = timing.select("chrom", F.col("target").alias("source")).distinct()
+    roots = timing.select("chrom", "source").distinct().join(entered, ["chrom", "source"], "left_anti")
+    growing = settle(roots.select("chrom", F.col("source").alias("end"), F.array(_name("source")).alias("path"), F.lit(False).alias("leaf")))
+    done = []
+    more = not growing.isEmpty()
+    while more:
+        grown = growing.where("not leaf").drop("leaf").join(arcs.withColumnRenamed("source", "end"), ["chrom", "end"])
         longer = F.concat("path", "via", F.array(_name("target")))
-        growing = settle(grown.select("chrom", F.col("target").alias("end"), longer.alias("path"), F.array_contains("path", _name("target")).alias("again")))
+        growing = settle(grown.select("chrom", F.col("target").alias("end"), longer.alias("path"), "leaf", F.array_contains("path", _name("target")).alias("again")))
+        done.append(growing.where("leaf").select("chrom", "path"))
         # A path that met a cycle comes back to one of its clusters, so this ends.
-        if not growing.where("again").isEmpty():
+        again, more = growing.agg(F.max("again"), F.count_if(~F.col("leaf")) > 0).first()
+        if again:
             raise ValueError(CYCLE)
-        done = done.unionByName(growing.join(left, ["chrom", "end"], "left_anti").select("chrom", "path"))
+    if not done:
+        raise ValueError(CYCLE)
+    paths = reduce(DataFrame.unionByName, done)
     # Without a cycle every cluster lies on a path from a root.
-    seen = done.select("chrom", F.explode("path").alias("source")).distinct()
+    seen = paths.select("chrom", F.explode("path").alias("source")).distinct()
     if not arcs.select("chrom", _name("source").alias("source")).distinct().join(seen, ["chrom", "source"], "left_anti").isEmpty():
         raise ValueError(CYCLE)
-    return _numbered(done.where(F.size("path") >= 3))
+    return _numbered(paths.where(F.size("path") >= 3))
