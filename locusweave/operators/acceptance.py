@@ -7,6 +7,10 @@ is held against what was accepted before it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,28 +24,45 @@ BEFORE, AFTER, APART = "before", "after", "apart"
 _FLIP = {BEFORE: AFTER, AFTER: BEFORE, APART: APART}
 
 
+def _places(bits: int) -> list[int]:
+    """The places of the ones in ``bits``."""
+    raw = np.frombuffer(bits.to_bytes((bits.bit_length() + 7) // 8, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+
+
 class PhaseState:
     """Clusters of cooccurring sites, the timing order between them, and which ones diverge.
 
-    ``facing[a][b]`` is how cluster ``a`` stands to ``b`` by an accepted edge; ``above`` and
-    ``below`` hold all clusters that come before and after one along timing edges.
+    Clusters are numbered, and sets of them are the bits of a number, so that a set is joined or
+    met a machine word at a time. ``facing[a][b]`` is how cluster ``a`` stands to ``b`` by an
+    accepted edge, ``apart`` holds those that diverge from one, and ``above`` and ``below`` all that
+    come before and after one along timing edges.
     """
 
     def __init__(self) -> None:
         self.home: dict[int, int] = {}
-        self.members: dict[int, list[int]] = {}
-        self.facing: dict[int, dict[int, str]] = {}
-        self.above: dict[int, set[int]] = {}
-        self.below: dict[int, set[int]] = {}
+        self.members: list[list[int]] = []
+        self.names: list[int] = []
+        self.facing: list[dict[int, str]] = []
+        self.apart: list[int] = []
+        self.above: list[int] = []
+        self.below: list[int] = []
         self.pairs: dict[tuple[int, int], tuple[str, int]] = {}
 
     def cluster(self, site: int) -> int:
         if site not in self.home:
-            self.home[site] = site
-            self.members[site] = [site]
-            self.facing[site], self.above[site], self.below[site] = {}, set(), set()
+            self.home[site] = len(self.names)
+            self.names.append(site)
+            self.members.append([site])
+            self.facing.append({})
+            for sets in (self.apart, self.above, self.below):
+                sets.append(0)
         return self.home[site]
 
+    def name(self, site: int) -> int:
+        """The site that a site's cluster is named by."""
+        return self.names[self.home[site]] if site in self.home else site
+
     def offer(self, u: int, v: int, relation: str) -> tuple[str, str | None]:
         """``accepted``, ``rejected`` with the reason, or ``repeated``."""
         if u == v:
@@ -63,16 +84,30 @@ class PhaseState:
             self._put_before(a, b)
         else:
             self.facing[a][b] = self.facing[b][a] = APART
+            self.apart[a] |= 1 << b
+            self.apart[b] |= 1 << a
         return "accepted", None
 
     # What would contradict the accepted edges.
 
-    def _apart(self, a: int) -> list[int]:
-        return [x for x, how in self.facing[a].items() if how == APART]
+    def _upper(self, a: int) -> int:
+        return self.above[a] | 1 << a
 
-    def _splits(self, upper: set[int], lower: set[int]) -> bool:
-        """Whether a cluster that diverges from one of ``upper`` is in or leads to ``lower``."""
-        return any(x in lower or self.below[x] & lower for a in upper for x in self._apart(a))
+    def _lower(self, a: int) -> int:
+        return self.below[a] | 1 << a
+
+    def _shunned(self, upper: int) -> int:
+        """The clusters that diverge from one of ``upper``."""
+        return reduce(or_, (self.apart[c] for c in _places(upper)), 0)
+
+    def _leads(self, starts: int, lower: int) -> bool:
+        """Whether one of ``starts`` is in ``lower`` or comes before one of it. Of both sets the
+        smaller one is gone through."""
+        if not starts or starts & lower:
+            return bool(starts)
+        if starts.bit_count() <= lower.bit_count():
+            return any(self.below[x] & lower for x in _places(starts))
+        return any(self.above[x] & starts for x in _places(lower))
 
     def _joining(self, a: int, b: int) -> str | None:
         if a == b:
@@ -83,10 +118,9 @@ class PhaseState:
             other = self.facing[a].get(x)
             if other is not None and other != how:
                 return "cluster_merge_pair_relation_conflict" if APART in (how, other) else "cluster_merge_pair_timing_direction_conflict"
-        if b in self.below[a] or a in self.below[b]:
+        if (self.below[a] >> b | self.below[b] >> a) & 1:
             return "cluster_merge_timing_cycle"
-        up_a, up_b, down_a, down_b = self.above[a] | {a}, self.above[b] | {b}, self.below[a] | {a}, self.below[b] | {b}
-        if self._splits(up_a, down_b) or self._splits(up_b, down_a):
+        if self._leads(self._shunned(self._upper(a)), self._lower(b)) or self._leads(self._shunned(self._upper(b)), self._lower(a)):
             return "cluster_merge_divergent_shared_timing_descendant_conflict"
         return None
 
@@ -98,19 +132,22 @@ class PhaseState:
             return "cluster_pair_relation_conflict"
         if how == AFTER:
             return "cluster_pair_timing_direction_conflict"
-        upper, lower = self.above[a] | {a}, self.below[b] | {b}
-        if any(x in lower for c in upper for x in self._apart(c)):
+        if self.below[a] >> b & 1:
+            # All of ``b``'s lower ones are below ``a``'s upper ones already.
+            return None
+        shunned, lower = self._shunned(self._upper(a)), self._lower(b)
+        if shunned & lower:
             return "cluster_pair_timing_implies_divergent_transitive_conflict"
-        if self._splits(upper, lower):
+        if self._leads(shunned, lower):
             return "cluster_pair_divergent_shared_timing_descendant_conflict"
-        return "timing_cycle" if a in self.below[b] else None
+        return "timing_cycle" if self.below[b] >> a & 1 else None
 
     def _parting(self, a: int, b: int) -> str | None:
         if a == b:
             return "cluster_internal_divergent"
         if self.facing[a].get(b, APART) != APART:
             return "cluster_pair_relation_conflict"
-        if b in self.below[a] or a in self.below[b]:
+        if (self.below[a] >> b | self.below[b] >> a) & 1:
             return "cluster_pair_divergent_timing_transitive_conflict"
         if self.below[a] & self.below[b]:
             return "cluster_pair_divergent_shared_timing_descendant_conflict"
@@ -120,10 +157,14 @@ class PhaseState:
 
     def _put_before(self, a: int, b: int) -> None:
         self.facing[a][b], self.facing[b][a] = BEFORE, AFTER
-        upper, lower = self.above[a] | {a}, self.below[b] | {b}
-        for c in upper:
+        if self.below[a] >> b & 1:
+            return
+        upper, lower = self._upper(a), self._lower(b)
+        # Those above ``b`` have all of its lower ones, and those below ``a`` all of its upper ones.
+        over, under = _places(upper & ~self.above[b]), _places(lower & ~self.below[a])
+        for c in over:
             self.below[c] |= lower
-        for c in lower:
+        for c in under:
             self.above[c] |= upper
 
     def _join(self, a: int, b: int) -> None:
@@ -132,31 +173,34 @@ class PhaseState:
         keep, gone = (b, a) if len(self.members[a]) < len(self.members[b]) else (a, b)
         for site in self.members[gone]:
             self.home[site] = keep
-        self.members[keep] += self.members.pop(gone)
-        for x, how in self.facing.pop(gone).items():
+        self.members[keep] += self.members[gone]
+        self.members[gone] = []
+        for x, how in self.facing[gone].items():
             del self.facing[x][gone]
             if x not in self.facing[keep]:
                 self.facing[keep][x] = how
                 self.facing[x][keep] = _FLIP[how]
-        upper = self.above[keep] | self.above.pop(gone)
-        lower = self.below[keep] | self.below.pop(gone)
-        for c in upper:
-            self.below[c].discard(gone)
-            self.below[c] |= lower | {keep}
-        for c in lower:
-            self.above[c].discard(gone)
-            self.above[c] |= upper | {keep}
+        self.facing[gone] = {}
+        for x in _places(self.apart[gone]):
+            self.apart[x] ^= 1 << gone | (1 << keep & ~self.apart[x])
+        self.apart[keep] |= self.apart[gone]
+        upper, lower = self.above[keep] | self.above[gone], self.below[keep] | self.below[gone]
+        for c in _places(upper):
+            self.below[c] = (self.below[c] | lower | 1 << keep) & ~(1 << gone)
+        for c in _places(lower):
+            self.above[c] = (self.above[c] | upper | 1 << keep) & ~(1 << gone)
         self.above[keep], self.below[keep] = upper, lower
+        self.apart[gone] = self.above[gone] = self.below[gone] = 0
 
 
 def _decide(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
     state = PhaseState()
     edges = edges.sort_values("accept_order")
-    said = [state.offer(int(u), int(v), r) for u, v, r in zip(edges["u"], edges["v"], edges["relation"], strict=True)]
+    said = [state.offer(u, v, r) for u, v, r in zip(edges["u"].tolist(), edges["v"].tolist(), edges["relation"].tolist(), strict=True)]
     out = edges[["chrom", "component", "accept_order", "u", "v", "relation"]].copy()
     out["status"], out["reason"] = [s for s, _ in said], [r for _, r in said]
-    out["cluster_u"] = [state.home.get(int(x), int(x)) for x in out["u"]]
-    out["cluster_v"] = [state.home.get(int(x), int(x)) for x in out["v"]]
+    out["cluster_u"] = [state.name(x) for x in out["u"].tolist()]
+    out["cluster_v"] = [state.name(x) for x in out["v"].tolist()]
     return out
 
 
