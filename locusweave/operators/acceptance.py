@@ -185,10 +185,13 @@ class PhaseState:
             self.apart[x] ^= 1 << gone | (1 << keep & ~self.apart[x])
         self.apart[keep] |= self.apart[gone]
         upper, lower = self.above[keep] | self.above[gone], self.below[keep] | self.below[gone]
-        for c in _places(upper):
-            self.below[c] = (self.below[c] | lower | 1 << keep) & ~(1 << gone)
-        for c in _places(lower):
-            self.above[c] = (self.above[c] | upper | 1 << keep) & ~(1 << gone)
+        for sets, over, under in ((self.below, self.above, lower), (self.above, self.below, upper)):
+            for c in _places(over[gone]):
+                sets[c] = (sets[c] | under | 1 << keep) & ~(1 << gone)
+            # The others had all of ``keep``'s.
+            if under != sets[keep]:
+                for c in _places(over[keep] & ~over[gone]):
+                    sets[c] |= under
         self.above[keep], self.below[keep] = upper, lower
         self.apart[gone] = self.above[gone] = self.below[gone] = 0
 
