@@ -35,8 +35,8 @@ class PhaseState:
 
     Clusters are numbered, and sets of them are the bits of a number, so that a set is joined or
     met a machine word at a time. ``facing[a][b]`` is how cluster ``a`` stands to ``b`` by an
-    accepted edge, ``apart`` holds those that diverge from one, and ``above`` and ``below`` all that
-    come before and after one along timing edges.
+    accepted edge, ``apart`` holds those that diverge from one, and ``_above`` and ``_below`` all
+    that come before and after one along timing edges.
     """
 
     def __init__(self) -> None:
@@ -45,8 +45,8 @@ class PhaseState:
         self.names: list[int] = []
         self.facing: list[dict[int, str]] = []
         self.apart: list[int] = []
-        self.above: list[int] = []
-        self.below: list[int] = []
+        self._above: list[int] = []
+        self._below: list[int] = []
         self.pairs: dict[tuple[int, int], tuple[str, int]] = {}
 
     def cluster(self, site: int) -> int:
@@ -55,10 +55,15 @@ class PhaseState:
             self.names.append(site)
             self.members.append([site])
             self.facing.append({})
-            for sets in (self.apart, self.above, self.below):
+            for sets in (self.apart, self._above, self._below):
                 sets.append(0)
         return self.home[site]
 
+    @property
+    def below(self) -> list[set[int]]:
+        """The clusters that come after each one, as sets."""
+        return [set(_places(lower)) for lower in self._below]
+
     def name(self, site: int) -> int:
         """The site that a site's cluster is named by."""
         return self.names[self.home[site]] if site in self.home else site
@@ -91,10 +96,10 @@ class PhaseState:
     # What would contradict the accepted edges.
 
     def _upper(self, a: int) -> int:
-        return self.above[a] | 1 << a
+        return self._above[a] | 1 << a
 
     def _lower(self, a: int) -> int:
-        return self.below[a] | 1 << a
+        return self._below[a] | 1 << a
 
     def _shunned(self, upper: int) -> int:
         """The clusters that diverge from one of ``upper``."""
@@ -106,8 +111,8 @@ class PhaseState:
         if not starts or starts & lower:
             return bool(starts)
         if starts.bit_count() <= lower.bit_count():
-            return any(self.below[x] & lower for x in _places(starts))
-        return any(self.above[x] & starts for x in _places(lower))
+            return any(self._below[x] & lower for x in _places(starts))
+        return any(self._above[x] & starts for x in _places(lower))
 
     def _joining(self, a: int, b: int) -> str | None:
         if a == b:
@@ -118,7 +123,7 @@ class PhaseState:
             other = self.facing[a].get(x)
             if other is not None and other != how:
                 return "cluster_merge_pair_relation_conflict" if APART in (how, other) else "cluster_merge_pair_timing_direction_conflict"
-        if (self.below[a] >> b | self.below[b] >> a) & 1:
+        if (self._below[a] >> b | self._below[b] >> a) & 1:
             return "cluster_merge_timing_cycle"
         if self._leads(self._shunned(self._upper(a)), self._lower(b)) or self._leads(self._shunned(self._upper(b)), self._lower(a)):
             return "cluster_merge_divergent_shared_timing_descendant_conflict"
@@ -132,7 +137,7 @@ class PhaseState:
             return "cluster_pair_relation_conflict"
         if how == AFTER:
             return "cluster_pair_timing_direction_conflict"
-        if self.below[a] >> b & 1:
+        if self._below[a] >> b & 1:
             # All of ``b``'s lower ones are below ``a``'s upper ones already.
             return None
         shunned, lower = self._shunned(self._upper(a)), self._lower(b)
@@ -140,16 +145,16 @@ class PhaseState:
             return "cluster_pair_timing_implies_divergent_transitive_conflict"
         if self._leads(shunned, lower):
             return "cluster_pair_divergent_shared_timing_descendant_conflict"
-        return "timing_cycle" if self.below[b] >> a & 1 else None
+        return "timing_cycle" if self._below[b] >> a & 1 else None
 
     def _parting(self, a: int, b: int) -> str | None:
         if a == b:
             return "cluster_internal_divergent"
         if self.facing[a].get(b, APART) != APART:
             return "cluster_pair_relation_conflict"
-        if (self.below[a] >> b | self.below[b] >> a) & 1:
+        if (self._below[a] >> b | self._below[b] >> a) & 1:
             return "cluster_pair_divergent_timing_transitive_conflict"
-        if self.below[a] & self.below[b]:
+        if self._below[a] & self._below[b]:
             return "cluster_pair_divergent_shared_timing_descendant_conflict"
         return None
 
@@ -157,15 +162,15 @@ class PhaseState:
 
     def _put_before(self, a: int, b: int) -> None:
         self.facing[a][b], self.facing[b][a] = BEFORE, AFTER
-        if self.below[a] >> b & 1:
+        if self._below[a] >> b & 1:
             return
         upper, lower = self._upper(a), self._lower(b)
         # Those above ``b`` have all of its lower ones, and those below ``a`` all of its upper ones.
-        over, under = _places(upper & ~self.above[b]), _places(lower & ~self.below[a])
+        over, under = _places(upper & ~self._above[b]), _places(lower & ~self._below[a])
         for c in over:
-            self.below[c] |= lower
+            self._below[c] |= lower
         for c in under:
-            self.above[c] |= upper
+            self._above[c] |= upper
 
     def _join(self, a: int, b: int) -> None:
         if a == b:
@@ -184,16 +189,16 @@ class PhaseState:
         for x in _places(self.apart[gone]):
             self.apart[x] ^= 1 << gone | (1 << keep & ~self.apart[x])
         self.apart[keep] |= self.apart[gone]
-        upper, lower = self.above[keep] | self.above[gone], self.below[keep] | self.below[gone]
-        for sets, over, under in ((self.below, self.above, lower), (self.above, self.below, upper)):
+        upper, lower = self._above[keep] | self._above[gone], self._below[keep] | self._below[gone]
+        for sets, over, under in ((self._below, self._above, lower), (self._above, self._below, upper)):
             for c in _places(over[gone]):
                 sets[c] = (sets[c] | under | 1 << keep) & ~(1 << gone)
             # The others had all of ``keep``'s.
             if under != sets[keep]:
                 for c in _places(over[keep] & ~over[gone]):
                     sets[c] |= under
-        self.above[keep], self.below[keep] = upper, lower
-        self.apart[gone] = self.above[gone] = self.below[gone] = 0
+        self._above[keep], self._below[keep] = upper, lower
+        self.apart[gone] = self._above[gone] = self._below[gone] = 0
 
 
 def _decide(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
