@@ -13,19 +13,23 @@ from locusweave.functions.chrom import bare_chrom
 @dataclass(frozen=True)
 class PhaseConfig:
     """``window_size`` is 2 to 5 sites, ``window_stride`` and ``top_components`` at least 1;
-    ``exclude_chroms`` may hold comma-separated lists, with or without ``chr``."""
+    ``exclude_chroms`` may hold comma-separated lists, with or without ``chr``; ``error_digits`` are
+    the decimal places of errors in the tree fit, at least 2 (an error is 0.01 or more), null for all."""
 
     window_size: int = 4
     window_stride: int = 3
     top_components: int = 50
     divergent_same_hp: bool = False
     exclude_chroms: tuple[str, ...] = field(default=())
+    error_digits: int | None = None
 
     def __post_init__(self) -> None:
         if not 2 <= self.window_size <= 5:
             raise ValueError("window_size must be 2 to 5")
         if self.window_stride < 1 or self.top_components < 1:
             raise ValueError("window_stride and top_components must be at least 1")
+        if self.error_digits is not None and self.error_digits < 2:
+            raise ValueError("error_digits must be at least 2")
 
     def excluded(self) -> list[str]:
         names = (n.strip().upper() for given in self.exclude_chroms for n in given.split(","))

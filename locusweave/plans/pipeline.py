@@ -29,7 +29,7 @@ def infer(config: PhaseConfig, obs: DataFrame, sites: DataFrame, read: list[str]
     resolved = settle(observations.resolve(held.join(kept, ["chrom", "pos"], "left_semi"), read))
     eligible = settle(pairs.eligible(pairs.pair_candidates(resolved, read)))
     found_windows = settle(windows.all_windows(eligible, config.window_size, config.window_stride))
-    fits = settle(trees.fit_windows(found_windows, windows.read_patterns(found_windows, resolved, read)))
+    fits = settle(trees.fit_windows(found_windows, windows.read_patterns(found_windows, resolved, read, config.error_digits)))
     called = settle(calls.relationship_calls(calls.results_of(eligible, found_windows, fits)))
     calls.check_calls(called)
     labels = kept.select("chrom", "pos", "label") if config.divergent_same_hp and markers is not None else None

@@ -134,6 +134,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--top-components", type=int, default=50)
     parser.add_argument("--window-size", type=int, default=4)
     parser.add_argument("--window-stride", type=int, default=3)
+    parser.add_argument("--error-digits", type=int, help="decimal places of errors in the tree fit, where scores are not whole")
     return parser.parse_args(given)
 
 
@@ -150,7 +151,7 @@ def _sample_place(spark: SparkSession, path: str, name: str | None) -> int:
 def main(given: list[str] | None = None) -> None:
     args = arguments(given)
     spark = SparkSession.builder.appName("locusweave").getOrCreate()
-    config = PhaseConfig(args.window_size, args.window_stride, args.top_components, args.divergent_same_hp, tuple(args.exclude_chrom))
+    config = PhaseConfig(args.window_size, args.window_stride, args.top_components, args.divergent_same_hp, tuple(args.exclude_chrom), args.error_digits)
     germline = variants.read_variants(spark, args.germline_vcf) if args.germline_vcf else None
     place = _sample_place(spark, args.germline_vcf, args.germline_vcf_sample_name) if args.germline_vcf else 0
     regions = variants.read_regions(spark, args.exclude_regions_bed) if args.exclude_regions_bed else None
