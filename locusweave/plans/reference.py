@@ -55,7 +55,11 @@ def pair_candidates(spark, sf):
 
 
 def pair_gate(spark, sf):
-    return pairs.eligible(pair_candidates(spark, sf))
+    return _gate(_resolved(spark, sf))
+
+
+def _gate(resolved: DataFrame) -> DataFrame:
+    return pairs.eligible(pairs.pair_candidates(resolved, READ))
 
 
 def candidates_clean(spark, sf):
@@ -121,7 +125,8 @@ def pair_window_assignment(spark, sf):
 
 def window_read_patterns(spark, sf):
     """The patterns of reads over each window, as ``place:allele:error`` of the covered sites."""
-    found = windows.read_patterns(windows.all_windows(_eligible(spark, sf), WINDOW, STRIDE), _resolved(spark, sf), READ)
+    resolved = settle(_resolved(spark, sf))
+    found = windows.read_patterns(settle(windows.all_windows(settle(_gate(resolved)), WINDOW, STRIDE)), resolved, READ)
     call = lambda c: F.format_string("%d:%d:%.6f", c["i"], c["allele"], c["err"])
     return found.select("chrom", "window_id", F.array_join(F.transform("pattern", call), ",").alias("pattern"), "reads")
 
