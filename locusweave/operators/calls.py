@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusweave.operators.pairs import RELATIONS, margin, same_haplotype_gate, supports
 from locusweave.operators.trees import fit_windows
 from locusweave.operators.windows import all_windows, assign_pairs, covered_pairs, read_patterns
-from locusweave.session import settle
+from locusweave.session import by_merge, settle
 
 #: In which order relations of equal reliability are tried.
 RELATION_RANK = {"cooccurring": 0, "divergent": 1, "left_before_right": 2, "right_before_left": 3}
@@ -22,8 +22,8 @@ def pair_results(pairs: DataFrame, resolved: DataFrame, read: list[str], size: i
 
 def results_of(pairs: DataFrame, windows: DataFrame, fits: DataFrame) -> DataFrame:
     """:func:`pair_results` from windows and their fits."""
-    found = assign_pairs(pairs, windows).join(fits, ["chrom", "window_id", "i", "j"])
-    return pairs.join(found.drop("sites", "i", "j"), ["chrom", "left_pos", "right_pos"])
+    found = assign_pairs(pairs, windows).join(by_merge(fits), ["chrom", "window_id", "i", "j"])
+    return pairs.join(by_merge(found.drop("sites", "i", "j")), ["chrom", "left_pos", "right_pos"])
 
 
 def window_table(windows: DataFrame, fits: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def window_opinions(windows: DataFrame, fits: DataFrame, pairs: DataFrame) -> Da
     slots = windows.select("chrom", "window_id", F.posexplode("sites").alias("i", "left_pos"), "sites").select(
         "chrom", "window_id", "i", "left_pos", F.posexplode("sites").alias("j", "right_pos")
     )
-    votes = slots.join(called, ["chrom", "window_id", "i", "j"]).join(pairs.select("chrom", "left_pos", "right_pos"), ["chrom", "left_pos", "right_pos"])
+    votes = slots.join(by_merge(called), ["chrom", "window_id", "i", "j"]).join(by_merge(pairs.select("chrom", "left_pos", "right_pos")), ["chrom", "left_pos", "right_pos"])
     counted = votes.groupBy("chrom", "left_pos", "right_pos", "relation").agg(F.count(F.lit(1)).alias("n"), F.collect_set("window_id").alias("ids"))
     ids = F.array_sort(F.flatten(F.collect_list("ids"))).cast("array<string>")
     return counted.groupBy("chrom", "left_pos", "right_pos").agg(
@@ -63,7 +63,7 @@ def window_opinions(windows: DataFrame, fits: DataFrame, pairs: DataFrame) -> Da
 def multiplicity(windows: DataFrame, pairs: DataFrame) -> DataFrame:
     """How many eligible pairs lie in how many windows, per chromosome."""
     keys = ["chrom", "left_pos", "right_pos"]
-    held = covered_pairs(windows).join(pairs.select(*keys), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
+    held = covered_pairs(windows).join(by_merge(pairs.select(*keys)), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
     return held.groupBy("chrom", "n_windows").agg(F.count(F.lit(1)).alias("pairs"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.session import release, settle
+from locusweave.session import by_merge, release, settle
 
 MOST_ROUNDS = 60
 #: Edges that a task joins into a forest together.
@@ -79,7 +79,7 @@ def _unsettled(edges: DataFrame, scope: list[str]) -> DataFrame:
 def _star(edges: DataFrame, scope: list[str]) -> DataFrame:
     """``u, v, m`` with ``m`` the smallest of ``u`` and its neighbours ``v``."""
     least = edges.groupBy(*scope, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, [*scope, "u"])
+    return edges.join(by_merge(least), [*scope, "u"])
 
 
 def components(edges: DataFrame, scope: list[str], u: str, v: str) -> DataFrame:
@@ -109,4 +109,4 @@ def components(edges: DataFrame, scope: list[str], u: str, v: str) -> DataFrame:
     ends = now.select(*scope, F.col("u").alias("vertex"), F.col("v").alias("component"))
     roots = now.select(*scope, F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     lone = first.where("u = v").select(*scope, F.col("u").alias("vertex"), F.col("u").alias("component"))
-    return ends.unionByName(roots).unionByName(lone.join(ends.unionByName(roots).select(*scope, "vertex"), [*scope, "vertex"], "left_anti"))
+    return ends.unionByName(roots).unionByName(lone.join(by_merge(ends.unionByName(roots).select(*scope, "vertex")), [*scope, "vertex"], "left_anti"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from locusweave.operators.pairs import RELATIONS
+from locusweave.session import by_merge
 
 #: Fixed values of the model.
 OUTLIER, ROUNDS, TOLERANCE = 0.01, 50, 1e-8
@@ -236,7 +237,7 @@ def fit_windows(windows: DataFrame, patterns: DataFrame) -> DataFrame:
         *(F.coalesce(call(k, "allele"), F.lit(-1)).alias(f"a{k}") for k in range(MOST_SITES)),
         *(F.coalesce(call(k, "err"), F.lit(0.5)).alias(f"e{k}") for k in range(MOST_SITES)),
     )
-    sized = flat.join(windows.select("chrom", "window_id", F.size("sites").alias("n_sites")), ["chrom", "window_id"])
+    sized = flat.join(by_merge(windows.select("chrom", "window_id", F.size("sites").alias("n_sites"))), ["chrom", "window_id"])
     # Little data but much work per window: the number is given so that no tasks are merged.
     tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["chrom", "window_id"]

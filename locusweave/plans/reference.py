@@ -147,9 +147,10 @@ def window_conflicts(spark, sf):
     """Pairs that several windows speak for, and whether the windows agree."""
     from locusweave.operators.trees import fit_windows
 
-    eligible = _eligible(spark, sf)
+    resolved = settle(_resolved(spark, sf))
+    eligible = settle(_gate(resolved))
     found = settle(windows.all_windows(eligible, WINDOW, STRIDE))
-    fits = fit_windows(found, windows.read_patterns(found, _resolved(spark, sf), READ))
+    fits = fit_windows(found, windows.read_patterns(found, resolved, READ))
     return calls.window_opinions(found, fits, eligible)
 
 

@@ -51,6 +51,16 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that sort both sides and never broadcast one.
+
+    For sides that grow with the data: the optimizer takes the size of a settled table from its
+    compressed files, and that of its exploded arrays from there, many times too low. It would
+    gather such a side in the driver.
+    """
+    return df.hint("merge")
+
+
 def release(df: DataFrame) -> None:
     """Remove the files behind a settled table that nothing reads any more."""
     path = getattr(df, "_settled", None)
